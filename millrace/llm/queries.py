@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
 from .common import read
+from .langid import identify
+from .packing import best_fit_pack
 
 #: The vocabulary file; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,8 +20,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(read(spark, sf_dir, "documents"), VOCABULARY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_langid": op3_langid,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
