@@ -11,6 +11,7 @@ from .bpe import encode_decode
 from .chat import format_chats, read_back
 from .common import read
 from .html_extract import extract
+from .jaccard import jaccard_join
 from .langid import identify
 from .packing import best_fit_pack
 
@@ -37,6 +38,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows.unionByName(odd)))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents"), k=3, part=90, whole=100)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -46,10 +51,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op6_html": op6_html,
     "op7_chat": op7_chat,
+    "op8_jaccard": op8_jaccard,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[^ ]+') AS ws FROM documents),
+        sh AS MATERIALIZED (
+            SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 2], ' ') END AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS MATERIALIZED (
+            SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+        reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = d.doc_id""",
     "op7_chat": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
