@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .chat import format_chats, read_back
@@ -13,7 +14,9 @@ from .common import read
 from .html_extract import extract
 from .jaccard import jaccard_join
 from .langid import identify
+from .near_vectors import near_duplicates
 from .packing import best_fit_pack
+from .topk import top_k
 
 #: The vocabulary file; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +45,14 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"), k=3, part=90, whole=100)
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -52,10 +63,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html": op6_html,
     "op7_chat": op7_chat,
     "op8_jaccard": op8_jaccard,
+    "op5_near_vectors": op5_near_vectors,
+    "op9_topk": op9_topk,
     "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_topk": """
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
+    "op5_near_vectors": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        link AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+        reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+        n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+        m AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m.m, vec_id)) AS component_id,
+            vec_id = least(vec_id, coalesce(m.m, vec_id)) AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id""",
     "op8_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[^ ]+') AS ws FROM documents),
