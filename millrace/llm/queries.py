@@ -16,6 +16,7 @@ from .jaccard import jaccard_join
 from .langid import identify
 from .near_vectors import near_duplicates
 from .packing import best_fit_pack
+from .substring import dedup_substrings
 from .topk import top_k
 
 #: The vocabulary file; a parameter of the operators.
@@ -53,6 +54,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.aggregate("removed", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return found.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), cut.alias("removed_chars"), "removed")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op5_near_vectors": op5_near_vectors,
     "op9_topk": op9_topk,
+    "op4_substring": op4_substring,
     "op10_packing": op10_packing,
 }
 
