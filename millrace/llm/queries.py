@@ -14,6 +14,7 @@ from .common import read
 from .html_extract import extract
 from .jaccard import jaccard_join
 from .langid import identify
+from .licenses import scan
 from .near_vectors import near_duplicates
 from .packing import best_fit_pack
 from .substring import dedup_substrings
@@ -27,6 +28,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_licenses": op2_licenses,
     "op3_langid": op3_langid,
     "op6_html": op6_html,
     "op7_chat": op7_chat,

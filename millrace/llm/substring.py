@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes of each text (32 bits, a window of 16 bytes,
 computed for a whole batch by doubling), and a text is cut after white space
-where the hash says so, on average after every fourth word; only where white
-space is missing, after a fixed length. Cuts depend on nearby content alone, so
+where the hash says so, on average after every fourth word, or after a fixed
+length where it never does. Cuts depend on nearby content alone, so
 an insertion shifts no later chunk. Chunks are known by a 64-bit digest.
 
 Of all documents that hold a digest, the one with the smallest id keeps it, and
@@ -76,9 +76,12 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = np.concatenate([[0], end[:-1]])
     long = np.flatnonzero(end - start > LONGEST_CHUNK)
     if len(long):
-        extra = []
+        extra, gaps = [], np.flatnonzero(gap) + 1
         for i in long.tolist():
             for at in range(int(start[i]) + LONGEST_CHUNK, int(end[i]), LONGEST_CHUNK):
+                near = int(np.searchsorted(gaps, at))
+                if near < len(gaps) and gaps[near] - at < 64:
+                    at = int(gaps[near])
                 while at < end[i] and raw[at] & 0xC0 == 0x80:
                     at += 1
                 if at < end[i]:
