@@ -1,21 +1,18 @@
 """Pieces that the operators of this subpackage share.
 
-Everything here is either a thin layer over Spark (reading tables, writing an
-intermediate table to the folder that all executors see) or numpy code that
-works on a whole Arrow batch at once.
+Everything here is either a thin layer over Spark or numpy code that works on a
+whole Arrow batch at once. Intermediate tables are written by Scratch.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from millrace.plans.scratch import Scratch
 
 #: Characters that one numpy step handles; a longer text is a step of its own.
 STEP_CHARS = 1_000_000
@@ -30,39 +27,6 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    A folder of our own is made only where the session names none, as in tests.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"millrace-{os.getuid()}")
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables, written as Parquet so that a lost executor loses none of them."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def save(self, df: DataFrame, label: str = "t") -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}-{label}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def steps(sizes: list[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Split positions 0..n into runs whose sizes sum to at most limit (one position at least)."""
     start = total = 0
@@ -139,6 +103,4 @@ def expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - first, length) + np.arange(total)
 
 
-def without_clashes(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
-    """Only the wanted columns, renamed: other columns of any name stay out of the way."""
-    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in wanted.items()])
+__all__ = ["STEP_CHARS", "Scratch", "expand", "mix64", "powers", "read", "small_batches", "span_hashes", "steps", "strings", "utf8"]

@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.components import components
+
 from .common import Scratch, mix64, small_batches, steps, utf8
-from .components import components
 from .shingles import shingles
 
 #: Bytes of text that one numpy step handles.
@@ -309,20 +310,24 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
 
     # keys whose classes are not yet all in one component
     labelled = scratch.save(shared.select("key", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("label")), "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("g")).where("x != y").select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    counts = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("g")).where("x != y").select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
+    open_keys = scratch.save(counts, "open")
     sketches = sets.select("class", "n", "sketch").dropDuplicates(["class"])
-    blocks = labelled.join(scratch.save(open_keys, "open"), "key").join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    blocks = labelled.join(open_keys, "key").join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "n", "label", "block", "sketch")
     more = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare_blocks(similarity), "a long, b long").distinct()
-    more_links = scratch.save(verify(scratch.save(more, "pairs"), sets, similarity), "links")
+    pairs = scratch.save(more, "pairs")
+    more_links = scratch.save(verify(pairs, sets, similarity), "links")
     known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = scratch.save(components(more_links.unionByName(known), scratch), "labels")
+    all_labels = scratch.save(components(more_links.unionByName(known), scratch), "labels")
 
-    joined = labels.withColumnRenamed("node", "class").join(classes, "class")
+    joined = all_labels.withColumnRenamed("node", "class").join(classes, "class")
     smallest = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     linked = joined.join(smallest, "component").select("class", "component_id")
     final = scratch.save(classes.join(linked, "class", "left").select("class", F.coalesce("component_id", "id").alias("component_id")), "final")
+    for done in (classes, shared, sets, links, labels, labelled, open_keys, pairs, more_links, all_labels):
+        scratch.drop(done)
     return rows.join(final, "class", "left").select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),

@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.components import components, local_forest
+
 from .common import Scratch, small_batches
-from .components import components, local_forest
 from .vectors import finite, matrix
 
 PASSES = 16
@@ -126,6 +127,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, passes: int = PASSES, wi
     counts = count_links(members, dims, cosine)
     of_class = classes.join(labels, "id", "left").join(counts, "id", "left")
     found = scratch.save(of_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("c")), "found")
+    for done in (classes, labels, members):
+        scratch.drop(done)
     usable = F.when(F.col("id").isNotNull() & finite("v"), F.col("v"))
     return (
         all_rows.withColumn("v", usable)

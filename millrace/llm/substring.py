@@ -173,6 +173,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
     repeats = passed_on.repartition("digest").sortWithinPartitions("digest", "id").mapInArrow(_later, "digest long, id long")
     repeats = scratch.save(repeats.unionByName(_settled(texts, known=True)), "repeats")
     by_document = scratch.save(repeats.groupBy("id").agg(F.collect_set("digest").alias("repeats")), "documents")
+    scratch.drop(repeats)
 
     names = df.columns
     key = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit((1 << 63) - 1))
