@@ -111,7 +111,7 @@ class Profile:
 
     def analyze(self, include_correlations: bool = True, include_distributions: bool = True, include_outliers: bool = True, generate_insights: bool = True) -> dict:
         rows = fuse(self.df, {"n": F.count(F.lit(1))})["n"]
-        size = self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+        size = self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
         table = {r["column"]: r.asDict() for r in distributions(self.df).collect()} if numeric_columns(self.df) else {}
         found = {
             "basic_stats": {"shape": [rows, len(self.df.columns)], "n_rows": rows, "n_columns": len(self.df.columns), "memory_mb": int(size) / 2**20, "duplicate_rows": duplicate_rows(self.df), "describe": table},
