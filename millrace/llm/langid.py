@@ -13,9 +13,9 @@ batch is one gather and one segmented sum.
 Calibration: a fifth of the sample takes no part in training. On it a
 temperature is fitted for the softmax, and for each language the rejection
 threshold: typicality, the mean log ratio of a text's subwords under the
-training histogram against even spread, below nearly all of that language's
-calibration texts by a margin, which is wider for short texts. Texts below the
-threshold are rejected.
+training histogram against even spread, halfway between text of wholly unknown
+subwords and the least typical calibration text of the language, and lower for
+short texts. Texts below the threshold are rejected.
 
 Null texts and texts without any letter are `und` with score 0 and rejected.
 Empty tables give empty tables; repeated rows are scored alike. Without any
@@ -43,9 +43,11 @@ GRAMS = (3, 4)
 SAMPLE_PER_LANGUAGE = 500
 DIMENSIONS = 16
 EPOCHS = 4
-#: A text is rejected if its typicality lies this many spreads below the calibration texts' low quantile.
-MARGIN = 4.0
-#: And this much more, divided by the root of the number of n-grams: means of short texts vary more.
+#: A text is rejected if its typicality lies below this share of the way from wholly unknown subwords to the least typical calibration text.
+REJECT_BELOW = 0.5
+#: Calibration texts of at least so many n-grams set that level.
+LONG_ENOUGH = 200
+#: Less this much, divided by the root of the number of n-grams: means of short texts vary more.
 SHORT_MARGIN = 8.0
 LETTER = regex.compile(r"\p{L}")
 
@@ -163,11 +165,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], seed: int
     temperature = float(min(np.geomspace(0.05, 50, 80), key=loss))
     typical = np.array([w @ ratio[at] for at, w in (weights[i] for i in check)])
     threshold = np.full(len(languages), -math.inf)
+    long = np.array([rows[i][2].sum() >= LONG_ENOUGH for i in check])
     for k in range(len(languages)):
-        own = typical[y[check] == k]
+        own = typical[long & (y[check] == k)]
+        own = own if len(own) >= 20 else typical[long]  # too few of one language: those of all
         if len(own) >= 20:
-            low, mid = np.quantile(own, [0.02, 0.5])
-            threshold[k] = low - MARGIN * max(mid - low, 0.05)
+            threshold[k] = ratio[:-1].min() + REJECT_BELOW * (own.min() - ratio[:-1].min())
     return Model(languages, logits, bias, temperature, ratio, threshold)
 
 
