@@ -30,6 +30,8 @@ from .common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+# what may stand within a paragraph without ending it
+PHRASING = INLINE | frozenset("script style noscript template svg math canvas object iframe audio video map button input select textarea label embed".split())
 NEVER = frozenset("head script style noscript template nav footer aside form iframe svg math canvas object embed audio video button select option textarea input dialog menu title xmp noembed noframes map datalist".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre li blockquote dt dd figcaption td th caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -106,7 +108,7 @@ class Page:
                 text = " ".join("".join(x for x, _ in buffer).split())
                 if text:
                     at = len(stack) - 1
-                    while at and tags[stack[at]] in INLINE:
+                    while at and tags[stack[at]] in PHRASING:
                         at -= 1
                     linked = sum(len("".join(x.split())) for x, y in buffer if y)
                     self.blocks.append((stack[at], text, linked))
@@ -152,7 +154,7 @@ class Page:
             if m[1]:
                 if not open_count.get(name):
                     continue
-                inline = name in INLINE
+                inline = name in PHRASING
                 for d in range(len(stack) - 1, 0, -1):
                     t = tags[stack[d]]
                     if t == name:
@@ -160,10 +162,10 @@ class Page:
                             flush()
                         pop_to(d)
                         break
-                    if inline and t not in INLINE:
+                    if inline and t not in PHRASING:
                         break
                 continue
-            if name not in INLINE:
+            if name not in PHRASING:
                 close(p_only, nothing)
                 if name in CLOSES:
                     close(*CLOSES[name])
