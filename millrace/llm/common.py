@@ -57,6 +57,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it if a column is called so already."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift)."""
     x = x.astype(np.uint64, copy=True)
@@ -103,4 +110,4 @@ def expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - first, length) + np.arange(total)
 
 
-__all__ = ["STEP_CHARS", "Scratch", "expand", "mix64", "powers", "read", "small_batches", "span_hashes", "steps", "strings", "utf8"]
+__all__ = ["STEP_CHARS", "Scratch", "expand", "free_name", "mix64", "powers", "read", "small_batches", "span_hashes", "steps", "strings", "utf8"]

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_CHARS, small_batches, steps, utf8
+from .common import STEP_CHARS, free_name, small_batches, steps, utf8
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
@@ -208,12 +208,13 @@ def fit(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_column: str =
     return train([(r["lang"], np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.uint32), r["u"]) for r in got])
 
 
-def predict(df: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Add lang_pred, score and rejected to all columns of df."""
+def predict(df: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
+    """Add lang_pred, score and rejected (with underscores after them if df has such columns) to all columns of df."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, whatever the input
     names = df.columns
     where = names.index(text_column)
+    made = [free_name(c, names) for c in ("lang_pred", "score", "rejected")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -230,19 +231,20 @@ def predict(df: DataFrame, model: Model | None, id_column: str = "doc_id", text_
                     pred.append(m.languages[best[i]] if known else "und")
                     score.append(float(p[i]) if known else 0.0)
                     reject.append(not known or bool(odd[i]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(reject, pa.bool_())], names=[*names, *made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return df.mapInArrow(run, f"{kinds}, `{made[0]}` string, `{made[1]}` double, `{made[2]}` boolean")
 
 
 def identify(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row."""
     model = fit(df, id_column=id_column, text_column=text_column, lang_column=lang_column)
-    scored = predict(df.select(id_column, text_column), model, id_column, text_column)
+    scored = predict(df.select(id_column, text_column), model, text_column)
     return scored.select(id_column, held_out(id_column).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(df: DataFrame) -> DataFrame:
     """The rows of documents whose language is not rejected, with their columns."""
-    return predict(df, fit(df)).where(~F.col("rejected")).select(*df.columns)
+    said = predict(df, fit(df))
+    return said.where(~F.col(f"`{said.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in df.columns])

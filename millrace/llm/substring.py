@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, small_batches, span_hashes, steps, utf8
+from .common import Scratch, free_name, mix64, small_batches, span_hashes, steps, utf8
 
 STEP_BYTES = 1_000_000
 WINDOW = 16
@@ -163,9 +163,13 @@ def runs_to_cut(start: np.ndarray, end: np.ndarray, digest: np.ndarray, words: n
     return spans
 
 
-def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """All rows and columns of df, with repeats cut out of the text, and removed: the spans cut, in code points of the old text."""
+def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", spans_column: str = "removed") -> DataFrame:
+    """All rows and columns of df, with repeats cut out of the text, and the spans cut, in code points of the old text.
+
+    The column of spans gets underscores after its name if df has one of that name.
+    """
     spark = df.sparkSession
+    spans_column = free_name(spans_column, df.columns)
     small_batches(spark)
     scratch = Scratch(spark, "substring")
     texts = df.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(f"`{text_column}`").alias("text"))
@@ -210,14 +214,15 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
                     removed.append([{"start": int(points[x - base]), "end": int(points[y - base])} for x, y in spans])
             columns = [*batch.columns[:where], pa.array(found, pa.string()), *batch.columns[where + 1 : len(names)]]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], names=[*names, "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, kind)], names=[*names, spans_column])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(run, f"{kinds}, removed array<struct<start: bigint, end: bigint>>")
+    return joined.mapInArrow(run, f"{kinds}, `{spans_column}` array<struct<start: bigint, end: bigint>>")
 
 
 def keep_new(df: DataFrame) -> DataFrame:
     """Documents without their repeats, n_chars set anew; those of which nothing is left go."""
     found = dedup_substrings(df)
-    left = found.where((F.size("removed") == 0) | (F.length("text") > 0))
-    return left.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*df.columns)
+    cut = F.size(F.col(f"`{found.columns[-1]}`")) > 0
+    left = found.where(~cut | (F.length("text") > 0))
+    return left.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in df.columns])
