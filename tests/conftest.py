@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
-if ROOT not in sys.path:
-    sys.path.insert(0, ROOT)
+for folder in (ROOT, str(Path(__file__).resolve().parent)):
+    if folder not in sys.path:
+        sys.path.insert(0, folder)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
