@@ -159,7 +159,7 @@ def test_images(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     schema = "ts timestamp, k int, value double"
-    rows = spark.range(48).selectExpr("timestamp_add(HOUR, id, TIMESTAMP '2024-01-01 00:00:00') AS ts", "CAST(id % 3 AS INT) AS k", "CAST(id AS DOUBLE) AS value")
+    rows = spark.range(48).selectExpr("TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT), 0, 0) AS ts", "CAST(id % 3 AS INT) AS k", "CAST(id AS DOUBLE) AS value")
     rows.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     streams.write(streams.resample(source, "ts", "value", "1 day", delay="1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
