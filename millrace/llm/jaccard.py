@@ -7,18 +7,21 @@ differ in at most H tokens, so if the hash universe is cut into segments whose
 allowances sum to more than H, they agree within the allowance in one segment
 at least (pigeonhole). A segment of allowance 0 is indexed by its subset; one
 of allowance 1 takes up two units and is indexed by its subset and the
-neighbourhood of one deletion. How many segments of a band get allowance 1 is
+neighbourhood of one deletion. Chance agreements are those of empty segments,
+so a band may have spare segments instead: a set with no more empty segments
+than spare ones gives its empty ones no allowance (-1) and does not index them,
+and still two such sets agree in one that is not empty. Allowances of a band are
 chosen by cost: keys written against the chance agreements expected from the
 number of sets in the band. A set indexes its own band, and the lower bands in
 which a set of the wanted similarity may lie.
 
 Keys are shuffled once and sorted; a key's classes stream by. They are joined
-in a star about the key's first class, verified exactly on whole sets, and
-linked. Pairs of one key that are not yet in one component after that are
-compared in blocks on parity sketches, whose distance never exceeds that of
-the sets, and what the sketches cannot rule out is verified exactly as well. So
-every candidate pair is either verified or known to be connected, and no group
-is ever expanded into all its pairs.
+in a star about the key's first class, and linked if similar. Pairs of one key
+that are not yet in one component after that are compared in blocks. Both times
+parity sketches come first, whose distance never exceeds that of the sets, and
+what they cannot rule out is verified exactly on whole sets. So every candidate
+pair is ruled out, verified, or known to be connected, and no group is ever
+expanded into all its pairs.
 
 Null and empty texts and texts without words have empty sets and link with
 nothing; a text of fewer words than a shingle has its whole sequence as one
@@ -28,6 +31,7 @@ rows are copies. Extra columns are ignored; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +49,8 @@ STEP_BYTES = 1_000_000
 BAND_RATIO = 1.5
 #: Cost of a chance pair in units of a written key.
 PAIR_COST = 4.0
+#: Spare segments that a band may have, in parts of those it needs.
+SPARES = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5)
 #: Classes of a key that are compared at once.
 BLOCK = 1024
 
@@ -61,7 +67,7 @@ class Similarity:
         while low and bounds[-1] < 1 << 40:
             bounds.append(max(bounds[-1] + 1, int(bounds[-1] * BAND_RATIO)))
         self.bounds = np.array(bounds, dtype=np.int64)
-        self.segments: list[tuple[int, int]] = []  # of each band: allowance 0, allowance 1
+        self.segments: list[tuple[int, int, int]] = []  # of each band: allowance 0, allowance 1, spare ones among the former
 
     def most_apart(self, smaller: int) -> int:
         """How many tokens a set of this size and one at least as large may differ in."""
@@ -78,14 +84,18 @@ class Similarity:
             high, low = int(self.bounds[b + 1]) - 1, int(self.bounds[b])
             n, units = sets_by_band.get(b, 0), self.most_apart(high) + 1
             best = None
-            for ones in sorted({units // 2 * k // 4 for k in range(5)}):
-                zeros = units - 2 * ones
+            choices = [(units - 2 * (units // 2 * k // 4), units // 2 * k // 4, 0) for k in range(5)] + [(units + int(units * x), 0, int(units * x)) for x in SPARES]
+            for zeros, ones, spare in sorted(set(choices)):
                 mean = low / (zeros + ones)  # tokens in a segment
+                empty = math.exp(-mean)
                 keys = zeros + ones * (2 + high / (zeros + ones))
-                chance = zeros * np.exp(-2 * mean) + ones * np.exp(-2 * mean) * (1 + 2 * mean + mean * mean)
+                chance = zeros * empty**2 + ones * empty**2 * (1 + 2 * mean + mean * mean)
+                if spare:  # only sets of more empty segments than spare ones index these
+                    expected = zeros * empty
+                    chance *= (0.5 * math.erfc((spare + 0.5 - expected) / math.sqrt(2 * expected + 1e-12))) ** 2
                 cost = n * keys + PAIR_COST * n * n / 2 * chance
                 if best is None or cost < best[0]:
-                    best = (cost, zeros, ones)
+                    best = (cost, zeros, ones, spare)
             self.segments.append(best[1:])
 
 
@@ -142,13 +152,17 @@ def index_keys(df: DataFrame, k: int, similarity: Similarity) -> DataFrame:
                 for i in np.flatnonzero(new).tolist():
                     mine = tokens[first[i] : first[i] + sizes[i]]
                     for b in range(int(lowest[i]), int(own[i]) + 1):
-                        zeros, ones = segments[b]
+                        zeros, ones, spare = segments[b]
                         count = zeros + ones
                         mixed = mix64(mine + np.uint64(0xA24BAED4963EE407 * (b + 1) & 0xFFFFFFFFFFFFFFFF))
                         place = (mixed % np.uint64(count)).astype(np.int64)
                         whole = sums(mixed, place, count)
                         salt = mix64(np.arange(count, dtype=np.uint64) + np.uint64((b + 1) << 32))
                         found = [mix64(whole ^ salt)]
+                        if spare:
+                            filled = np.bincount(place, minlength=count) > 0
+                            if count - filled.sum() <= spare:
+                                found = [found[0][filled]]
                         if ones:
                             shrunk = place < ones
                             found.append(mix64((whole[place[shrunk]] - mixed[shrunk]) ^ salt[place[shrunk]]))
@@ -220,6 +234,26 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFra
     return joined.where(both * similarity.whole >= (F.col("na") + F.col("nb") - both) * similarity.part).select("a", "b")
 
 
+def not_ruled_out(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs (a, b) whose parity sketches, a small part of the sets' size, allow the wanted similarity."""
+    part, whole = similarity.part, similarity.whole
+    sketches = sets.select("class", "n", "sketch")
+    a, b = (sketches.toDF(x, f"n{x}", f"s{x}") for x in "ab")
+    near = F.least("na", "nb") * whole >= F.greatest("na", "nb") * part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (whole - part)
+            stay = []
+            for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                words = min(len(x), len(y)) // 8
+                stay.append(int(np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum()))
+            keep = pa.array(np.array(stay, dtype=np.int64) * (whole + part) <= size)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _fold(sketch: bytes, size: int) -> np.ndarray:
     words = np.frombuffer(sketch, dtype=np.uint64)
     while len(words) > size:
@@ -305,7 +339,8 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
     sets = scratch.save(set_rows(texts.join(wanted, "id", "left_semi"), k), "sets")
 
     stars = shared.where("class != pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = scratch.save(verify(stars, sets, similarity), "links")
+    likely = scratch.save(not_ruled_out(stars, sets, similarity), "likely")
+    links = scratch.save(verify(likely, sets, similarity), "links")
     labels = scratch.save(components(links, scratch), "labels")
 
     # keys whose classes are not yet all in one component
@@ -326,7 +361,7 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
     smallest = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     linked = joined.join(smallest, "component").select("class", "component_id")
     final = scratch.save(classes.join(linked, "class", "left").select("class", F.coalesce("component_id", "id").alias("component_id")), "final")
-    for done in (classes, shared, sets, links, labels, labelled, open_keys, pairs, more_links, all_labels):
+    for done in (classes, shared, sets, likely, links, labels, labelled, open_keys, pairs, more_links, all_labels):
         scratch.drop(done)
     return rows.join(final, "class", "left").select(
         F.col("id").alias(id_column),
