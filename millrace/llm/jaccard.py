@@ -16,8 +16,9 @@ number of sets in the band. A set indexes its own band, and the lower bands in
 which a set of the wanted similarity may lie.
 
 Keys are shuffled once and sorted; a key's classes stream by. They are joined
-in a star about the key's first class, and linked if similar. Pairs of one key
-that are not yet in one component after that are compared in blocks. Both times
+in a star about one class, another for each key by a hash, and linked if
+similar. Pairs of other classes of a key that are not yet in one component
+after that are compared in blocks. Both times
 parity sketches come first, whose distance never exceeds that of the sets, and
 what they cannot rule out is verified exactly on whole sets. So every candidate
 pair is ruled out, verified, or known to be connected, and no group is ever
@@ -176,7 +177,7 @@ def index_keys(df: DataFrame, k: int, similarity: Similarity) -> DataFrame:
 
 
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, class): those of keys with two classes or more, with the key's first class."""
+    """Of rows sorted by key, equal classes together: those of keys with two classes or more, with the key's first class."""
     carry: tuple[int, int, int, bool] | None = None  # key, first class, last class, whether the last is written
     for batch in batches:
         key, cls = (batch.column(i).to_numpy() for i in (0, 1))
@@ -334,7 +335,7 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
     similarity.allocate({r["band"]: r["sets"] for r in counted.collect()})
 
     keys = index_keys(texts.where(F.col("id").isNotNull()), k, similarity)
-    shared = scratch.save(keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(shared_keys, "key long, class long, pivot long"), "shared")
+    shared = scratch.save(keys.repartition("key").sortWithinPartitions(F.col("key"), F.xxhash64("key", "class"), F.col("class")).mapInArrow(shared_keys, "key long, class long, pivot long"), "shared")
     wanted = shared.select("class").distinct().join(classes, "class").select("id")
     sets = scratch.save(set_rows(texts.join(wanted, "id", "left_semi"), k), "sets")
 
@@ -343,8 +344,8 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
     links = scratch.save(verify(likely, sets, similarity), "links")
     labels = scratch.save(components(links, scratch), "labels")
 
-    # keys whose classes are not yet all in one component
-    labelled = scratch.save(shared.select("key", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("label")), "labelled")
+    # keys whose classes are not yet all in one component; the pivot was compared with all others of its key
+    labelled = scratch.save(shared.where("class != pivot").select("key", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("label")), "labelled")
     counts = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("g")).where("x != y").select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     open_keys = scratch.save(counts, "open")
     sketches = sets.select("class", "n", "sketch").dropDuplicates(["class"])
