@@ -102,6 +102,38 @@ def test_near_vectors_equal_brute_force(vectors, monkeypatch):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def isolated_pairs(n, dims, shared, seed=4):
+    """n vectors of mean cosine `shared`; rows 2i and 2i + 1 of the first tenth have cosine 0.9, no others 0.9 or more."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims - 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = x[0 : n // 10 : 2], x[1 : n // 10 : 2]
+    b = b - (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 1 - (0.1 - 1e-6) / (1 - shared)
+    x[1 : n // 10 : 2] = c * a + np.sqrt(1 - c * c) * b
+    return np.hstack([np.sqrt(1 - shared) * x, np.full((n, 1), np.sqrt(shared))])
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.6])
+def test_near_vectors_find_isolated_pairs(spark, shared):
+    n = 12_000
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(isolated_pairs(n, 64, shared).tolist())], "vec_id long, embedding array<double>")
+    rows = near_duplicates(df.repartition(4)).where(f"vec_id < {n // 10}").collect()
+    assert sum(r["n_links"] == 1 and r["component_id"] == r["vec_id"] // 2 * 2 for r in rows) >= 0.995 * n // 10
+
+
+def test_windows_do_not_end_at_borders_of_partitions(spark):
+    ids = list(range(400))
+    hashed = spark.createDataFrame([(0, i, i, [1.0, i / 1000]) for i in ids], "pass int, hash long, id long, v array<double>")
+    links = near_vectors.window_links(hashed, 2, 3, 0.9, near_vectors.Scratch(spark, "borders"), 8)
+    pairs, label = links.collect(), {i: i for i in ids}
+    for _ in ids:
+        for u, v in pairs:
+            label[u] = label[v] = min(label[u], label[v])
+    assert set(label.values()) == {0}
+
+
 def test_top_k_equals_brute_force(spark, vectors):
     df, x = vectors
     q = np.floor(x * 256).astype(np.int64)
