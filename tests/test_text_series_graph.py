@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.catalogue import QUERIES
 from millrace.operators import timeseries
 from millrace.operators.graph import GraphPrep
 from millrace.operators.text import TextPrep
@@ -123,3 +124,24 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(n - 1).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target")).repartition(5)
     out = GraphPrep(spark.range(n), edges).identify_components()
     assert out.select("component_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_components_of_all_orders_equal_union_find(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    orders = pd.read_parquet(f"{folder}/orders.parquet", columns=["o_orderkey", "o_custkey"])
+    customers = sorted(pd.read_parquet(f"{folder}/customer.parquet", columns=["c_custkey"]).c_custkey)
+    above = {}
+
+    def root(x):
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    for order, customer in zip(orders.o_orderkey, orders.o_custkey, strict=True):
+        above[root(customer)] = root(order % 3000)
+    numbers = {}
+    want = {c: numbers.setdefault(root(c), len(numbers)) for c in customers}
+    assert QUERIES["graph_edge_list_all"](spark, folder).count() == 2 * len(orders) + len(customers)
+    assert {r["id"]: r["component_id"] for r in QUERIES["graph_components_all"](spark, folder).collect()} == want
