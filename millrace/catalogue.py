@@ -215,6 +215,13 @@ def balance_smote(spark, sf_dir):
     return balance.smote(rows, "toxic").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def balance_smote_digests(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("quality", "n_chars", "toxic")
+    shown = F.concat_ws("|", *[F.format_string("%.6f", F.col(c).cast("double")) for c in ("quality", "n_chars", "toxic")])
+    return balance.smote(rows, "toxic").groupBy("toxic", F.sha2(shown, 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT 0 AS part, CAST(floor(count(*) * 0.7) AS BIGINT) AS n FROM customer UNION ALL SELECT 1, CAST(floor(count(*) * 0.15) AS BIGINT) FROM customer UNION ALL SELECT 2, count(*) - CAST(floor(count(*) * 0.7) AS BIGINT) - CAST(floor(count(*) * 0.15) AS BIGINT) FROM customer")
 def split_dataset(spark, sf_dir):
     parts = balance.split_rows(table(spark, sf_dir, "customer"))

@@ -17,6 +17,8 @@ from millrace.plans.scratch import Scratch
 from millrace.schema import number, numeric_columns, q, require, row_hash, value
 
 BUCKETS = 1024
+#: Rows of a chunk in the search for neighbours.
+CHUNK = 8192
 
 
 def class_counts(df: DataFrame, target: str) -> dict[object, int]:
@@ -71,12 +73,43 @@ def balance_classes(df: DataFrame, target: str, method: str = "oversample", seed
     return picked.withColumn("__copy", F.explode(copies)).drop("__copy", "__picked")
 
 
-def smote(df: DataFrame, target: str, sampling_strategy: str | float = "auto", k_neighbors: int = 5, seed: int = 42, donors: int = 20_000) -> DataFrame:
+def nearest_rows(rows: DataFrame, bases: DataFrame, n_rows: int, n_bases: int, width: int, k: int) -> DataFrame:
+    """(id, near): the x of the k other rows nearest to each base, for rows (id, x, h, ...); bases are some of the rows.
+
+    Rows and bases meet chunk by chunk, and the best of all chunk pairs are merged, so
+    no task holds more than two chunks. Ties are broken by h, then by x.
+    """
+    down, across = max(1, -(-n_rows // CHUNK)), max(1, -(-n_bases // CHUNK))
+    given = rows.select(F.pmod(F.xxhash64("id"), F.lit(down)).alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("r"), "id", "x", "h")
+    asked = bases.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("d"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(across)).alias("r"), "id", "x")
+
+    def compare(asked: pa.Table, given: pa.Table) -> pa.Table:
+        table = lambda t: np.array(t.column("x").to_pylist(), dtype=np.float64).reshape(t.num_rows, width)
+        found: list[list] = [[], [], [], []]
+        if asked.num_rows and given.num_rows:
+            pool, ids, h = table(given), given.column("id").to_numpy(), given.column("h").to_numpy()
+            for base, x in zip(asked.column("id").to_pylist(), table(asked), strict=True):
+                apart = ((pool - x) ** 2).sum(axis=1)
+                apart[np.isnan(apart)] = np.inf
+                apart[ids == base] = np.nan  # sorts last; never its own neighbour
+                able = np.flatnonzero(apart <= np.partition(apart, k - 1)[k - 1]) if len(apart) > k else np.flatnonzero(~np.isnan(apart))
+                for i in able[np.lexsort((*pool[able].T[::-1], h[able], apart[able]))[:k]]:
+                    for column, v in zip(found, (base, float(apart[i]), int(h[i]), pool[i].tolist()), strict=True):
+                        column.append(v)
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+        return pa.table({name: pa.array(v, t) for name, v, t in zip(("id", "apart", "h", "x"), found, kinds, strict=True)})
+
+    found = asked.groupBy("d", "r").cogroup(given.groupBy("d", "r")).applyInArrow(compare, "id long, apart double, h long, x array<double>")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("apart", "h", "x"))), 1, k)  # k rows for each chunk pair
+    return found.groupBy("id").agg(F.transform(best, lambda b: b["x"]).alias("near"))
+
+
+def smote(df: DataFrame, target: str, sampling_strategy: str | float = "auto", k_neighbors: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic rows between minority rows and their nearest neighbours of the same class.
 
     auto: all classes but the largest reach its size; 'minority': only the rarest; a
-    number: two classes, minority/majority. Neighbours are sought among at most
-    `donors` rows of a class, chosen by hash; every row of the class may be a base.
+    number: two classes, minority/majority. Every row of a class may be a base, and
+    neighbours are sought among all its other rows.
     """
     require(df, target)
     columns = numeric_columns(df, [target])
@@ -97,32 +130,28 @@ def smote(df: DataFrame, target: str, sampling_strategy: str | float = "auto", k
         goal = {rare: max(counts[rare], int(sampling_strategy * most))}
     else:
         raise ValueError(f"SMOTE balancing failed: unknown strategy {sampling_strategy!r}")
-    made = [rows]
+    made, scratch = [rows], Scratch(df.sparkSession, "smote")
     for c, size in goal.items():
         n = counts[c]
         if n <= k_neighbors:
             raise ValueError(f"SMOTE balancing failed: class {c!r} has {n} rows, more than {k_neighbors} are needed")
         own = rows.where(q(target) == F.lit(c))
-        features = own.select(F.array(*[number(own, x) for x in columns]).alias("x"), row_hash(own, seed).alias("h"))
-        pool = np.array([r["x"] for r in features.orderBy("h").limit(donors).collect()], dtype=np.float64)
         times = (size - n) // n
-        based = pick(own, target, {c: (size - n) % n}, seed)
-        based = based.select(F.array(*[number(based, x) for x in columns]).alias("x"), row_hash(own, seed).alias("h"), F.explode(F.sequence(F.lit(1), F.lit(times) + F.col("__picked").cast("int"), F.lit(1))).alias("copy")) if times else based.where("__picked").select(F.array(*[number(based, x) for x in columns]).alias("x"), row_hash(own, seed).alias("h"), F.lit(1).alias("copy"))
-        shared = df.sparkSession.sparkContext.broadcast(pool)  # at most `donors` rows
+        picked = pick(own, target, {c: (size - n) % n}, seed)
+        keyed = scratch.save(picked.select(F.monotonically_increasing_id().alias("id"), F.array(*[number(own, x) for x in columns]).alias("x"), row_hash(own, seed).alias("h"), (F.lit(times) + F.col("__picked").cast("int")).alias("copies")))
+        bases = keyed.where("copies > 0")
+        near = nearest_rows(keyed, bases, n, n if times else (size - n) % n, len(columns), k_neighbors)
+        based = bases.join(near, "id").select("x", "h", "copies", "near")
 
-        def run(batches, shared=shared):
-            pool = shared.value
+        def run(batches):
             for batch in batches:
-                x = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-                out = np.empty_like(x)
-                draws = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-                for i, (h, copy) in enumerate(draws):
-                    rng = np.random.default_rng([abs(h), copy, seed])
-                    apart = ((pool - x[i]) ** 2).sum(axis=1)
-                    near = np.argsort(apart, kind="stable")[: k_neighbors + 1]
-                    near = near[1:] if apart[near[0]] == 0 else near[:k_neighbors]
-                    out[i] = x[i] + rng.random() * (pool[rng.choice(near)] - x[i])
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.list_(pa.float64()))], names=["x"])
+                out = []
+                for x, h, copies, pool in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    x, pool = np.array(x, dtype=np.float64), np.array(pool, dtype=np.float64)
+                    for copy in range(1, copies + 1):
+                        rng = np.random.default_rng([abs(h), copy, seed])
+                        out.append(x + rng.random() * (pool[rng.choice(len(pool))] - x))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64()))], names=["x"])
 
         fresh = based.mapInArrow(run, "x array<double>")
         cells = [F.lit(c).cast(df.schema[target].dataType).alias(target) if name == target else F.col("x")[columns.index(name)].cast(df.schema[name].dataType if not str(df.schema[name].dataType).startswith(("Int", "Long", "Short", "Byte")) else "double").alias(name) for name in df.columns]

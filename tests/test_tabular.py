@@ -84,6 +84,24 @@ def test_smote_fills_up_between_neighbours(spark):
         balance.smote(df.where("y = 0 OR a > 5.5"), "y", k_neighbors=50)
 
 
+def test_smote_seeks_neighbours_in_the_whole_class(spark):
+    # pairs far from each other: the nearest row is the other of the pair, so nothing lies between pairs
+    n = 40_000
+    rare = spark.range(n).select((F.floor(F.col("id") / 2) * 10 + F.col("id") % 2 * 0.1).alias("a"), F.lit(1).alias("y"))
+    many = spark.range(n + 200).select(F.lit(0.0).alias("a"), F.lit(0).alias("y"))
+    out = balance.smote(rare.unionByName(many), "y", k_neighbors=1).where("y = 1")
+    rest = F.expr("a - 10 * floor(a / 10)")
+    assert out.count() == n + 200 and out.where(rest > 0.1001).count() == 0
+
+
+def test_smote_chunks_change_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.random(), rng.random(), int(i < 60)) for i in range(200)], "a double, b double, y int")
+    want = sorted(map(tuple, balance.smote(df, "y").collect()))
+    monkeypatch.setattr(balance, "CHUNK", 16)
+    assert sorted(map(tuple, balance.smote(df.repartition(7), "y").collect())) == want
+
+
 def test_split_has_exact_sizes(spark):
     parts = balance.split_rows(spark.range(10), (0.7, 0.15, 0.15))
     assert [p.count() for p in parts] == [7, 1, 2]
