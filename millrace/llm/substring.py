@@ -2,8 +2,10 @@
 
 A gear hash rolls over the bytes of each text (32 bits, a window of 16 bytes,
 computed for a whole batch by doubling), and a text is cut after white space
-where the hash says so, on average after every fourth word, or after a fixed
-length where it never does. Cuts depend on nearby content alone, so
+where the hash says so, on average after every fourth word. Within words longer
+than 64 bytes (text without ASCII white space, such as Chinese, or base64) it is
+also cut between characters where the hash says so. Where neither cuts for 512
+bytes (repeated characters or lines), it is cut by length. Cuts by hash depend on nearby content alone, so
 an insertion shifts no later chunk. Chunks are known by a 64-bit digest.
 
 Of all documents that hold a digest, the one with the smallest id keeps it, and
@@ -36,6 +38,10 @@ STEP_BYTES = 1_000_000
 WINDOW = 16
 #: One in so many gaps between words is a cut.
 WORDS_PER_CHUNK = 4
+#: Words of more bytes are cut inside: after one in so many bytes where a character ends, not twice within so many.
+LONGEST_WORD = 64
+BYTES_PER_CUT = 16
+CLOSEST_CUTS = 16
 LONGEST_CHUNK = 512
 SHORTEST_RUN_WORDS = 20
 SHORTEST_RUN_BYTES = 240
@@ -70,6 +76,15 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     gap = white.copy()
     gap[:-1] &= ~white[1:]
     cut = gap & ((rolled[place] >> np.uint32(14)) % np.uint32(WORDS_PER_CHUNK) == 0)
+    word_end = word.copy()
+    word_end[:-1] &= white[1:] | (owner[1:] != owner[:-1])
+    first, last = np.flatnonzero(word_begin), np.flatnonzero(word_end)
+    large = last - first >= LONGEST_WORD
+    if large.any():
+        long_at = np.concatenate([np.arange(x, y) for x, y in zip(first[large].tolist(), last[large].tolist(), strict=True)])  # a cut after the last byte is the gap's
+        long_at = long_at[raw[long_at + 1] & 0xC0 != 0x80]
+        hit = long_at[(rolled[place[long_at]] >> np.uint32(8)) % np.uint32(BYTES_PER_CUT) == 0]
+        cut[hit[np.diff(hit, prepend=-CLOSEST_CUTS - 1) > CLOSEST_CUTS]] = True
     stop = offsets[1:][sizes > 0]
     cut[stop - 1] = True
     end = np.flatnonzero(cut) + 1

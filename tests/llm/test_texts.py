@@ -119,6 +119,22 @@ def test_chunks_cover_texts_and_resist_insertions():
         raw[s:e].tobytes().decode()
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x5200))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_substring_dedup_of_text_without_spaces(spark, letters):
+    rng = random.Random(7)
+    fresh = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage = fresh(1500)
+    texts = {1: fresh(400) + passage + fresh(300), 2: fresh(401) + passage + fresh(300), 3: "x" + passage, 4: fresh(2000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r["text"] for r in substring.dedup_substrings(df).collect()}
+    core = passage[200:1300]
+    assert core in out[1] and out[1] == texts[1] and out[4] == texts[4]
+    for i in (2, 3):
+        assert not any(core[at : at + 20] in out[i] for at in range(0, len(core) - 20))
+        head, tail = texts[i].split(passage)
+        assert out[i].startswith(head) and out[i].endswith(tail)
+
+
 def test_substring_dedup(spark, odd_documents, no_documents):
     rng = random.Random(6)
     fresh = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
