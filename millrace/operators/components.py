@@ -65,6 +65,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         smallest = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = large.join(smallest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.save(moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        for old in (edges, least, large, smallest):
-            scratch.drop(old)
+        scratch.drop(edges, least, large, smallest)
         edges = after
