@@ -15,16 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.plans.scratch import Scratch
 
 #: Characters that one numpy step handles; a longer text is a step of its own.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 250_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep Arrow batches small: one batch of very long texts must fit a worker."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Keep Arrow batches small, in rows and bytes, on both sides of the pipe; a longer text is a batch of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def steps(sizes: list[int], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
@@ -88,7 +89,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * STEP_CHARS:
+        if size <= 1 << 20:
             _POWERS[inverse] = have
     return have[: n + 1]
 

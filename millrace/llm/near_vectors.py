@@ -260,8 +260,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, passes: int | None = Non
     counts = count_links(members, dims, cosine)
     of_class = classes.join(labels, "id", "left").join(counts, "id", "left")
     found = scratch.save(of_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("c")), "found")
-    for done in (classes, labels, members):
-        scratch.drop(done)
+    scratch.drop(classes, labels, members)
     usable = F.when(F.col("id").isNotNull() & finite("v"), F.col("v"))
     return (
         all_rows.withColumn("v", usable)
