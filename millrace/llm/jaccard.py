@@ -27,7 +27,9 @@ expanded into all its pairs.
 Null and empty texts and texts without words have empty sets and link with
 nothing; a text of fewer words than a shingle has its whole sequence as one
 shingle. A null id links with nothing and is its own null component. Repeated
-rows are copies. Extra columns are ignored; an empty table gives an empty one.
+rows are copies: their set is made once. Shingles and classes are known by 64-bit
+hashes alone, so of 10^9 distinct sets some pair is taken for equal with a chance
+of a few hundredths. Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ from .common import Scratch, mix64, small_batches, steps, utf8
 from .shingles import shingles
 
 #: Bytes of text that one numpy step handles.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 200_000
 BAND_RATIO = 1.5
 #: Cost of a chance pair in units of a written key.
 PAIR_COST = 4.0
@@ -208,11 +210,16 @@ def sketch_bits(size: int) -> int:
 
 
 def set_rows(df: DataFrame, k: int) -> DataFrame:
-    """class, n, tokens and parity sketch of every row of (id, text)."""
+    """class, n, tokens and parity sketch of the rows of (id, text); of equal rows of a step one only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, tokens, _, sizes, classes in text_sets(batch.column(1), k):
+            for _, tokens, owner, sizes, classes in text_sets(batch.column(1), k):
+                _, once = np.unique(classes, return_index=True)
+                if len(once) < len(classes):
+                    stays = np.zeros(len(classes), dtype=bool)
+                    stays[once] = True
+                    tokens, sizes, classes = tokens[stays[owner]], sizes[stays], classes[stays]
                 sketches, at = [], 0
                 for n in sizes.tolist():
                     bits = sketch_bits(n)
@@ -225,6 +232,16 @@ def set_rows(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(run, "class long, n long, tokens array<long>, sketch binary")
 
 
+def one_of_each(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The table of sets with one row for each class; sets move only where rows of one id repeat."""
+    twice = sets.groupBy("class").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("class")
+    if twice.isEmpty():
+        return sets
+    once = scratch.save(sets.join(twice, "class", "left_anti").unionByName(sets.join(twice, "class", "left_semi").dropDuplicates(["class"])), "sets")
+    scratch.drop(sets)
+    return once
+
+
 def verify(pairs: DataFrame, sets: DataFrame, similarity: Similarity) -> DataFrame:
     """The pairs (a, b) of classes whose sets have the wanted similarity."""
     a = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -337,7 +354,7 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
     keys = index_keys(texts.where(F.col("id").isNotNull()), k, similarity)
     shared = scratch.save(keys.repartition("key").sortWithinPartitions(F.col("key"), F.xxhash64("key", "class"), F.col("class")).mapInArrow(shared_keys, "key long, class long, pivot long"), "shared")
     wanted = shared.select("class").distinct().join(classes, "class").select("id")
-    sets = scratch.save(set_rows(texts.join(wanted, "id", "left_semi"), k), "sets")
+    sets = one_of_each(scratch.save(set_rows(texts.join(wanted, "id", "left_semi"), k), "sets"), scratch)
 
     stars = shared.where("class != pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     likely = scratch.save(not_ruled_out(stars, sets, similarity), "likely")
@@ -348,7 +365,7 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
     labelled = scratch.save(shared.where("class != pivot").select("key", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("label")), "labelled")
     counts = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("g")).where("x != y").select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     open_keys = scratch.save(counts, "open")
-    sketches = sets.select("class", "n", "sketch").dropDuplicates(["class"])
+    sketches = sets.select("class", "n", "sketch")
     blocks = labelled.join(open_keys, "key").join(sketches, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "n", "label", "block", "sketch")
@@ -362,8 +379,7 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
     smallest = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     linked = joined.join(smallest, "component").select("class", "component_id")
     final = scratch.save(classes.join(linked, "class", "left").select("class", F.coalesce("component_id", "id").alias("component_id")), "final")
-    for done in (classes, shared, sets, likely, links, labels, labelled, open_keys, pairs, more_links, all_labels):
-        scratch.drop(done)
+    scratch.drop(classes, shared, sets, likely, links, labels, labelled, open_keys, pairs, more_links, all_labels)
     return rows.join(final, "class", "left").select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
@@ -372,7 +388,15 @@ def jaccard_join(df: DataFrame, k: int = 3, part: int = 90, whole: int = 100, id
 
 
 def keep_one(df: DataFrame, k: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """The rows of documents that represent their group: the smallest doc_id of each component."""
-    found = jaccard_join(df, k, part, whole)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return df.join(gone, "doc_id", "left_anti").select(*df.columns)
+    """The documents that represent their group: the smallest doc_id of each component, and one of its repeated rows.
+
+    Rows of one id repeat if their texts are equal; an id of several different texts stays with all of them unless each
+    has an earlier copy. Rows without id stay.
+    """
+    found = jaccard_join(df, k, part, whole).where("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    ids = Scratch(df.sparkSession, "keep-one").save(ids.where("NOT stays OR rows > 1"), "ids")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    single = df.join(ids.select("doc_id"), "doc_id", "left_anti").select(*names)
+    repeated = df.join(ids.where("stays").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
+    return single.unionByName(repeated)
