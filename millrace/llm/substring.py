@@ -8,19 +8,22 @@ also cut between characters where the hash says so. Where neither cuts for 512
 bytes (repeated characters or lines), it is cut by length. Cuts by hash depend on nearby content alone, so
 an insertion shifts no later chunk. Chunks are known by a 64-bit digest.
 
-Of all documents that hold a digest, the one with the smallest id keeps it, and
-there its first place stays. A run of neighbouring chunks that are to go is cut
-out if it is long enough (20 words, or 240 bytes), so chance repeats of a few
-words and short common lines stay. Tasks first settle what they see themselves:
-of a digest they pass on only their smallest document, and the others are
-already known to be repeats. What they pass on is shuffled once by digest and
-sorted; repeats stream out and return to their documents. No group of copies is
-ever held together.
+A stretch is the shortest run of chunks from a chunk on, or up to a chunk, that is
+worth cutting (20 words, or 240 bytes); its digest is made of those of its chunks.
+Only whole stretches repeat, so chance repeats of a few words, short common lines, and words
+that each stand somewhere else stay. Of all documents that hold a stretch, the one
+with the smallest id keeps it, and there its first place stays; everywhere else it
+is cut out. Whatever is cut thus stands in a document of a smaller id, or before.
+Tasks first settle what they see themselves: of a digest they pass on only their
+smallest document, and the others are already known to be repeats. What they pass
+on is shuffled once by digest and sorted; repeats stream out and return to their
+documents. No group of copies is ever held together.
 
 Null texts stay null, empty ones empty. Rows of one id count as one document, so
-repeated rows are all kept; a null id comes after all others. Texts of any
-length are cut whole. Extra columns of the input pass through in keep_new() and
-are ignored otherwise; an empty table gives an empty table.
+repeated rows are all kept (keep_one() leaves none of them); rows without id come
+after all others, and those of equal text count as one document. Texts of any
+length are cut whole. Extra columns of the input pass through; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, mix64, small_batches, span_hashes, steps, utf8
 
-STEP_BYTES = 1_000_000
+STEP_BYTES = 200_000
 WINDOW = 16
 #: One in so many gaps between words is a cut.
 WORDS_PER_CHUNK = 4
@@ -46,7 +49,7 @@ LONGEST_CHUNK = 512
 SHORTEST_RUN_WORDS = 20
 SHORTEST_RUN_BYTES = 240
 #: (digest, document) pairs that a task settles at once.
-SETTLE = 1_000_000
+SETTLE = 500_000
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _GEAR = (mix64(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -108,6 +111,24 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, owner[start], digest, before[end] - before[start]
 
 
+def stretches(start: np.ndarray, end: np.ndarray, owner: np.ndarray, digest: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk, end (the chunk after the last) and digest of the stretches of all texts in order, given their chunks."""
+    n, at = len(start), np.arange(len(start))
+    before = np.concatenate([[0], np.cumsum(words)])
+    # the shortest run from each chunk on, and the shortest up to each chunk: together they reach to both ends of a passage
+    stop = np.minimum(np.searchsorted(before, before[:-1] + SHORTEST_RUN_WORDS), np.searchsorted(end, start + SHORTEST_RUN_BYTES) + 1)
+    first = np.maximum(np.searchsorted(before, before[1:] - SHORTEST_RUN_WORDS, side="right"), np.searchsorted(start, end - SHORTEST_RUN_BYTES, side="right")) - 1
+    on, up = stop <= np.searchsorted(owner, owner, side="right"), first >= np.searchsorted(owner, owner)
+    runs = np.unique(np.concatenate([at[on] * (n + 1) + stop[on], first[up] * (n + 1) + at[up] + 1]))
+    first, stop = runs // (n + 1), runs % (n + 1)
+    return first, stop, span_hashes(digest.view(np.uint64), first, stop).view(np.int64)
+
+
+def document_key(id_column: str, text_column: str) -> Column:
+    """The id as a long; without one, a number above all ids that equal texts share."""
+    return F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(f"`{text_column}`")), 2))
+
+
 def _settled(df: DataFrame, known: bool) -> DataFrame:
     """(digest, id): what a task passes on (its smallest id of each digest), or what it knows to be repeats."""
 
@@ -134,8 +155,9 @@ def _settled(df: DataFrame, known: bool) -> DataFrame:
             _, offsets = utf8(batch.column(1))
             for a, b in steps(np.diff(offsets).tolist(), STEP_BYTES):
                 raw, at = utf8(batch.column(1).slice(a, b - a))
-                _, _, owner, digest, _ = chunks(raw, at)
-                held.append((digest, names[a:b][owner]))
+                start, end, owner, digest, words = chunks(raw, at)
+                first, _, digest = stretches(start, end, owner, digest, words)
+                held.append((digest, names[a:b][owner[first]]))
                 count += len(digest)
                 if count >= SETTLE:
                     yield from settle()
@@ -163,19 +185,18 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(digest[later]), pa.array(ids[later])], names=["digest", "id"])
 
 
-def runs_to_cut(start: np.ndarray, end: np.ndarray, digest: np.ndarray, words: np.ndarray, repeats: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans to cut from one text, given its chunks and the digests that an earlier document keeps."""
-    _, first = np.unique(digest, return_index=True)
+def spans_to_cut(start: np.ndarray, end: np.ndarray, digest: np.ndarray, repeats: np.ndarray) -> list[tuple[int, int]]:
+    """Byte spans to cut from one text, given its stretches in order and the digests that an earlier document keeps."""
+    _, once = np.unique(digest, return_index=True)
     goes = np.ones(len(digest), dtype=bool)
-    goes[first] = False
+    goes[once] = False
     if len(repeats):
         goes |= np.isin(digest, repeats)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], goes.view(np.int8), [0]])))
-    spans = []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if words[a:b].sum() >= SHORTEST_RUN_WORDS or end[b - 1] - start[a] >= SHORTEST_RUN_BYTES:
-            spans.append((int(start[a]), int(end[b - 1])))
-    return spans
+    low, high = start[goes], end[goes]
+    if not len(low):
+        return []
+    new = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+    return list(zip(low[new].tolist(), high[np.append(new[1:], len(high)) - 1].tolist(), strict=True))
 
 
 def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", spans_column: str = "removed") -> DataFrame:
@@ -187,7 +208,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
     spans_column = free_name(spans_column, df.columns)
     small_batches(spark)
     scratch = Scratch(spark, "substring")
-    texts = df.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(f"`{text_column}`").alias("text"))
+    texts = df.select(document_key(id_column, text_column).alias("id"), F.col(f"`{text_column}`").alias("text"))
     passed_on = _settled(texts, known=False)
     repeats = passed_on.repartition("digest").sortWithinPartitions("digest", "id").mapInArrow(_later, "digest long, id long")
     repeats = scratch.save(repeats.unionByName(_settled(texts, known=True)), "repeats")
@@ -195,8 +216,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
     scratch.drop(repeats)
 
     names = df.columns
-    key = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit((1 << 63) - 1))
-    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("id"))
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), document_key(id_column, text_column).alias("id"))
     joined = keyed.join(by_document, "id", "left").select("row.*", "repeats").toDF(*names, "__repeats")
     where = names.index(text_column)
 
@@ -211,11 +231,13 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
                 part = column.slice(a, b - a)
                 raw, at = utf8(part)
                 start, end, owner, digest, words = chunks(raw, at)
+                first, stop, digest = stretches(start, end, owner, digest, words)
+                owner, start, end = owner[first], start[first], end[stop - 1]
                 bound = np.searchsorted(owner, np.arange(b - a + 1))
                 for i, text in enumerate(part.to_pylist()):
                     lo, hi = bound[i], bound[i + 1]
                     own = known[a + i].values
-                    spans = runs_to_cut(start[lo:hi], end[lo:hi], digest[lo:hi], words[lo:hi], own.to_numpy() if own is not None else np.zeros(0, np.int64)) if text else []
+                    spans = spans_to_cut(start[lo:hi], end[lo:hi], digest[lo:hi], own.to_numpy() if own is not None else np.zeros(0, np.int64)) if text else []
                     if not spans:
                         found.append(text)
                         removed.append([])
@@ -236,8 +258,9 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def keep_new(df: DataFrame) -> DataFrame:
-    """Documents without their repeats, n_chars set anew; those of which nothing is left go."""
+    """Documents without their repeats, n_chars (if there) set anew; those of which nothing is left go."""
     found = dedup_substrings(df)
     cut = F.size(F.col(f"`{found.columns[-1]}`")) > 0
     left = found.where(~cut | (F.length("text") > 0))
-    return left.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    counted = F.when(cut, F.length("text").cast(dict(df.dtypes).get("n_chars", "long"))).otherwise(F.col("n_chars")) if "n_chars" in df.columns else None
+    return left.select(*[counted.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in df.columns])

@@ -95,7 +95,19 @@ def test_jaccard_edges(spark, odd_documents, no_documents):
     assert jaccard.jaccard_join(no_documents).count() == 0
     nulls = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.jaccard_join(nulls).collect()) == [(0, 0), (1, 1), (2, 1)]
-    assert jaccard.keep_one(odd_documents).columns == odd_documents.columns and jaccard.keep_one(odd_documents).count() == 8
+    # one of the two rows of document 6 goes
+    assert jaccard.keep_one(odd_documents).columns == odd_documents.columns and sorted(r["doc_id"] for r in jaccard.keep_one(odd_documents).collect()) == list(range(1, 8))
+
+
+def test_jaccard_of_repeated_rows(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:-1], "other"]), 3: "far away from all of them " * 9}
+    rows = [(i, texts[i]) for i in (1, 2) for _ in range(500)] + [(3, texts[3]), (4, texts[1] + " x"), (4, texts[3]), (None, texts[1]), (None, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(df, 3, 90, 100).collect()}
+    assert {(i, c) for i, _, c in got} == {(1, 1), (2, 1), (3, 3), (4, 1), (4, 3), (None, None)}
+    # near copies of 1 go, rows repeat once at most, rows without id stay
+    assert sorted((r["doc_id"] or 0) for r in jaccard.keep_one(df, 3, 90, 100).collect()) == [0, 0, 1, 3]
 
 
 def test_shingles_of_batches():
@@ -161,6 +173,46 @@ def test_substring_dedup(spark, odd_documents, no_documents):
     assert substring.keep_new(df.withColumn("n_chars", F.lit(1).cast("long"))).count() == 7
 
 
+def test_substring_dedup_leaves_words_that_repeat_apart(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    texts = {i: " ".join(words[10 * i : 10 * i + 10]) + f" and word {i} alone" for i in range(30)}
+    texts[99] = " ".join(words)  # each tenth of it stands in another document, no twenty words do
+    df = spark.createDataFrame([*texts.items(), (None, texts[99] + " a"), (None, texts[99] + " a")], "doc_id long, text string").repartition(3)
+    out = substring.dedup_substrings(df).collect()
+    assert {r["doc_id"]: r["text"] for r in out if r["doc_id"] is not None} == texts
+    assert all(len(r["text"]) < 60 for r in out if r["doc_id"] is None)  # after all others
+    assert substring.keep_new(df).columns == ["doc_id", "text"]
+
+
+def brute_substring(texts):
+    """What is left of each text if every stretch of 20 words that an earlier text or place holds is cut, chunk by chunk."""
+    seen, left = {}, {}
+    for i in sorted(texts):
+        raw, at = utf8(pa.array([texts[i] or ""]))
+        start, end, _, _, words = substring.chunks(raw, at)
+        pieces = [raw[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        sizes = [(int(n), len(p)) for n, p in zip(words, pieces, strict=True)]
+        enough = lambda a, b: sum(x for x, _ in sizes[a:b]) >= substring.SHORTEST_RUN_WORDS or sum(y for _, y in sizes[a:b]) >= substring.SHORTEST_RUN_BYTES  # noqa: E731, B023
+        gone, runs = set(), set()
+        for a in range(len(pieces)):
+            runs |= {next(((a, b) for b in range(a + 1, len(pieces) + 1) if enough(a, b)), None), next(((b, a + 1) for b in range(a, -1, -1) if enough(b, a + 1)), None)}
+        for a, b in sorted(runs - {None}):
+            if seen.setdefault(tuple(pieces[a:b]), (i, a)) != (i, a):
+                gone |= set(range(a, b))
+        kept = b"".join(p for k, p in enumerate(pieces) if k not in gone).decode()
+        left[i] = kept.rstrip() if gone else texts[i]
+    return left
+
+
+def test_substring_query_equals_brute_force(spark):
+    from millrace.llm.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r["doc_id"]: r["text"] for r in QUERIES["op4_substring"](spark, sf_dir).collect()} == brute_substring(texts)
+
+
 def license_brute(texts):
     scanner, found = licenses.Scanner(licenses.TEMPLATES), set()
     for i, t in texts.items():
