@@ -44,9 +44,7 @@ class Frequency:
         whole = F.floor(apart / F.lit(float(self.seconds) * 1e6)) * F.lit(self.seconds)
         return F.timestamp_add("SECOND", whole.cast("long"), base)
 
-    def spine(self, low: Column, high: Column) -> Column:
-        """All labels from low to high as an array."""
-        if self.months:
-            months = F.sequence(F.trunc(low, "month"), F.trunc(high, "month"), F.expr(f"INTERVAL {self.months} MONTHS"))
-            return F.transform(months, lambda d: F.last_day(d).cast("timestamp_ntz"))
-        return F.sequence(low, high, F.expr(f"INTERVAL {self.seconds} SECONDS"))
+    def months_between(self, low: Column, high: Column) -> Column:
+        """The labels of whole months from low to high as an array, a handful for each year."""
+        months = F.sequence(F.trunc(low, "month"), F.trunc(high, "month"), F.expr(f"INTERVAL {self.months} MONTHS"))
+        return F.transform(months, lambda d: F.last_day(d).cast("timestamp_ntz"))

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.plans.stats import fuse, modes, null_count, quantile
+from millrace.plans.scratch import Scratch
+from millrace.plans.stats import fuse, modes, null_count, quantiles
 from millrace.schema import categorical_columns, number, numeric_columns, q, require, value
 
 #: Dictionaries up to this size become part of the expression; larger ones are joined.
 INLINE = 256
-MOST_ONE_HOT = 1000
 
 
 def replace(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
@@ -49,8 +49,9 @@ class Imputer:
         kinds = {c: self._kind(df, c) for c in names if missing[c]}
         self.drops = [c for c, k in kinds.items() if k == "drop"]
         rows = df.na.drop(subset=[f"`{c}`" for c in self.drops]) if self.drops else df
-        wanted = {c: quantile(number(rows, c), 0.5, self.approx) if k == "median" else F.avg(number(rows, c)) for c, k in kinds.items() if k in ("median", "mean")}
-        self.fills = fuse(rows, wanted) if wanted else {}
+        wanted = {c: F.avg(number(rows, c)) for c, k in kinds.items() if k == "mean"}
+        middle = quantiles(rows, {c: number(rows, c) for c, k in kinds.items() if k == "median"}, [0.5], self.approx)
+        self.fills = (fuse(rows, wanted) if wanted else {}) | {c: v[0] if v else None for c, v in middle.items()}
         most = modes(rows, [c for c, k in kinds.items() if k == "mode"])
         for c, k in kinds.items():
             if k == "mode":
@@ -122,26 +123,20 @@ class Encoder:
         for c in categorical_columns(df, exclude):
             known = q(c) if self.method == "onehot" else F.coalesce(q(c), F.lit("nan"))
             distinct = df.select(known.alias("v")).where("v IS NOT NULL").distinct()
-            most = INLINE if self.method == "label" else MOST_ONE_HOT
-            some = [r["v"] for r in distinct.limit(most + 1).collect()]
-            if len(some) <= most:
+            # each value of a one-hot column becomes a column of the plan, however many there are
+            some = [r["v"] for r in (distinct if self.method == "onehot" else distinct.limit(INLINE + 1)).collect()]
+            if self.method == "onehot" or len(some) <= INLINE:
                 self.values[c] = sorted(some, key=lambda s: s.encode("utf-8"))
-            elif self.method == "onehot":
-                raise ValueError(f"Column '{c}' has more than {MOST_ONE_HOT} categories; use label encoding")
             else:
                 self.large[c] = self._dictionary(distinct)
         return self
 
     @staticmethod
     def _dictionary(distinct: DataFrame) -> DataFrame:
-        """(v, code): ranks within buckets of first letters, moved by the buckets' cumulative sizes; no window spans all values."""
-        from pyspark.sql import Window
-
-        bucketed = distinct.withColumn("b", F.substring("v", 1, 2))
-        sizes = bucketed.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-        before = sizes.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
-        ranked = bucketed.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("v")))
-        return ranked.join(before, "b").select("v", (F.col("before") + F.col("r") - 1).cast("int").alias("code"))
+        """(v, code): numbers in the values' order, by a range sort and the sizes of its parts."""
+        from millrace.operators.timeseries import numbered
+
+        return numbered(distinct, [F.col("v")], Scratch(distinct.sparkSession, "codes"), "code").withColumn("code", F.col("code").cast("int"))
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.method == "onehot":

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.forest import IsolationForest
-from millrace.plans.stats import fuse, missing_table, null_count, quantile
+from millrace.plans.scratch import Scratch
+from millrace.plans.stats import fuse, missing_table, null_count, quantiles
 from millrace.schema import number, numeric_columns, q, require, value
 
 
@@ -39,7 +40,7 @@ def zscore_flag(df: DataFrame, columns: list[str], threshold: float, rows: DataF
 
 def iqr_flag(df: DataFrame, columns: list[str], factor: float, rows: DataFrame | None = None, approx: bool = False) -> Column:
     """Whether any column lies beyond factor times the inter-quartile range outside its quartiles."""
-    s = fuse(df if rows is None else rows, {c: quantile(number(df, c), [0.25, 0.75], approx) for c in columns})
+    s = quantiles(df if rows is None else rows, {c: number(df, c) for c in columns}, [0.25, 0.75], approx)
     flags = []
     for c in columns:
         if s[c]:
@@ -62,9 +63,10 @@ def flag_outliers(df: DataFrame, method: str = "iforest", contamination: float =
         return df.withColumn(flag, whole & iqr_flag(df, columns, threshold, rows))
     if method != "iforest":
         raise ValueError(f"Unknown method: {method}")
-    scored = IsolationForest(columns).fit(rows).score(df, "__score")
-    cut = fuse(scored, {"cut": F.percentile(F.col("__score"), 1 - contamination)})["cut"]
-    return scored.withColumn(flag, F.coalesce(F.col("__score") > F.lit(cut), F.lit(False))).drop("__score")
+    # scored once: the level and the flags read the saved scores
+    scored = Scratch(df.sparkSession, "iforest").save(IsolationForest(columns).fit(rows).score(df, "__score"))
+    cut = quantiles(scored, {"cut": F.col("__score")}, [1 - contamination])["cut"]
+    return scored.withColumn(flag, F.coalesce(F.col("__score") > F.lit(cut[0] if cut else None), F.lit(False))).drop("__score")
 
 
 def detect_outliers(df: DataFrame, method: str = "iforest", contamination: float = 0.05, threshold: float = 3.0) -> dict:

@@ -1,4 +1,4 @@
-"""Exploratory profiles: one fused scan for moments and quantiles, one for counts that need fences, two shuffles for values."""
+"""Exploratory profiles: fused scans for moments and counts, exact quantiles of bounded memory, shuffles for values alone."""
 
 from __future__ import annotations
 
@@ -8,22 +8,29 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.stats import correlation, fuse, kurtosis, modes, null_count, quantile, skewness, value_counts
+from millrace.plans.stats import correlation, fuse, kurtosis, modes, null_count, quantiles, skewness, value_counts
 from millrace.schema import categorical_columns, datetime_columns, number, numeric_columns, q
 
 STRONG, HIGH = 0.9, 0.7
 
 
 def distributions(df: DataFrame) -> DataFrame:
-    """A row of statistics for each numeric column, all from one scan."""
+    """A row of statistics for each numeric column: moments in one scan, exact quantiles, and distinct values counted by one shuffle."""
     names = numeric_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, count long, mean double, median double, std double, min double, max double, q25 double, q75 double, skewness double, kurtosis double, unique long, zeros long")
+    parts = quantiles(df, {c: number(df, c) for c in names}, [0.25, 0.5, 0.75])
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), number(df, c).alias("v")) for i, c in enumerate(names)])).alias("s")
+    distinct = df.select(values).where("s.v IS NOT NULL").select("s.i", "s.v").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    unique = {r["i"]: r["n"] for r in distinct.collect()}
     cells = []
-    for c in names:
+    for i, c in enumerate(names):
         x = number(df, c)
+        low, mid, high = (F.lit(v).cast("double") for v in parts[c] or [None] * 3)
         cells.append(F.struct(
-            F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), F.max(x).alias("max"), quantile(x, 0.25).alias("q25"), quantile(x, 0.75).alias("q75"),
-            skewness(x).alias("skewness"), kurtosis(x).alias("kurtosis"), F.countDistinct(x).alias("unique"), F.count_if(x == 0).alias("zeros"),
+            F.lit(c).alias("column"), F.count(x).alias("count"), F.avg(x).alias("mean"), mid.alias("median"), F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"), F.max(x).alias("max"), low.alias("q25"), high.alias("q75"),
+            skewness(x).alias("skewness"), kurtosis(x).alias("kurtosis"), F.lit(unique.get(i, 0)).cast("long").alias("unique"), F.count_if(x == 0).alias("zeros"),
         ))
     return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("cell")).select("cell.*")
 
@@ -41,13 +48,14 @@ def outlier_counts(df: DataFrame) -> DataFrame:
     wanted = {}
     for c in names:
         x = number(df, c)
-        wanted |= {f"n {c}": F.count(x), f"q {c}": quantile(x, [0.25, 0.75]), f"m {c}": F.avg(x), f"s {c}": F.stddev_samp(x)}
+        wanted |= {f"n {c}": F.count(x), f"m {c}": F.avg(x), f"s {c}": F.stddev_samp(x)}
     s = fuse(df, wanted) if wanted else {}
+    parts = quantiles(df, {c: number(df, c) for c in names}, [0.25, 0.75])
     cells = []
     for c in names:
         if s[f"n {c}"] < 4:
             continue
-        low, high = s[f"q {c}"]
+        low, high = parts[c]
         reach = 1.5 * (high - low)
         x = number(df, c)
         far = F.count_if(F.abs((x - s[f"m {c}"]) / s[f"s {c}"]) > 3) if s[f"s {c}"] else F.lit(0).cast("long")

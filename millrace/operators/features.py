@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.timeseries import time_parts
-from millrace.plans.stats import fuse, quantile
+from millrace.plans.stats import fuse, quantiles
 from millrace.schema import datetime_columns, number, numeric_columns, q, require, value
 
 
@@ -59,7 +59,7 @@ def bin_edges(df: DataFrame, columns: list[str], n_bins: int, strategy: str) ->
         raise ValueError(f"Unknown binning strategy: {strategy}")
     if strategy == "quantile":
         shares = [i / n_bins for i in range(n_bins + 1)]
-        found = fuse(df, {c: quantile(number(df, c), shares) for c in columns})
+        found = quantiles(df, {c: number(df, c) for c in columns}, shares)
     else:
         ends = fuse(df, {c: F.array(F.min(number(df, c)), F.max(number(df, c))) for c in columns})
         found = {c: list(np.linspace(*e, n_bins + 1)) if e and e[0] is not None else None for c, e in ends.items()}

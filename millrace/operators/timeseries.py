@@ -1,10 +1,11 @@
 """Time series: a frame with a timestamp column, perhaps a value column, perhaps many series.
 
-Order is by timestamp and then the order columns. With partition_cols every
-series is a window of its own. Without, the whole table is one series; it is
-then numbered by a range sort and cut into stretches of rows, and functions
-that look back see their stretch and a halo of the rows before it, so that no
-task ever holds the whole series.
+Order is by timestamp and then the order columns (without any, a hash of the
+row). If no series is longer than a stretch, every series is a window of its own.
+Else all rows are numbered by a range sort, series by series, and cut into
+stretches; functions that look back see their stretch and a halo of the rows
+before it, as far as they look, so that no task ever holds a whole series. Both
+plans give the same rows. Numbering runs jobs and writes an intermediate table.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from millrace.functions.frequency import Frequency
 from millrace.operators.detect import iqr_flag, zscore_flag
 from millrace.operators.text import drop_duplicates
 from millrace.plans.scratch import Scratch
-from millrace.plans.stats import fuse
-from millrace.schema import numeric_columns, q, require, value
+from millrace.plans.stats import fuse, quantiles
+from millrace.schema import numeric_columns, q, require, row_hash, value
 
-#: Rows of a stretch of a series that is cut up.
+#: Rows of a stretch of a series that is cut up; more where functions look back further.
 STRETCH = 100_000
+#: Steps of a calendar that one row expands to.
+CALENDAR_STEPS = 100_000
 _TIME_PARTS = {"year": F.year, "month": F.month, "day": F.day, "dayofweek": F.weekday, "hour": F.hour, "quarter": F.quarter}
 
 
@@ -79,42 +82,71 @@ class SeriesPrep:
         return self.value
 
     def _keys(self) -> list[Column]:
-        return [q(self.ts), *[q(c) for c in self.order]]
+        return [q(self.ts), *([q(c) for c in self.order] or [row_hash(self.df, 0)])]
+
+    def _short(self) -> bool:
+        """Whether every series fits a stretch, so that plain windows do."""
+        if not self.parts:
+            return False
+        sizes = self.df.groupBy(*[q(c) for c in self.parts]).agg(F.count(F.lit(1)).alias("n"))
+        return (fuse(sizes, {"n": F.max("n")})["n"] or 0) <= STRETCH
+
+    def _stretches(self, size: int) -> DataFrame:
+        """The rows with their number __row, series by series, and their stretch __s."""
+        return numbered(self.df, [*[q(c) for c in self.parts], *self._keys()], self.scratch).withColumn("__s", F.floor(F.col("__row") / size))
 
     def _look_back(self, made: dict[str, tuple], reach: int) -> DataFrame:
         """Add columns made from a window of at most reach rows back. made: name -> function of a window."""
-        names = self.df.columns
-        if self.parts:
-            w = Window.partitionBy(*[q(c) for c in self.parts]).orderBy(*self._keys())
+        names, series = self.df.columns, [q(c) for c in self.parts]
+        if self._short():
+            w = Window.partitionBy(*series).orderBy(*self._keys())
             return self.df.withColumns({n: f(w) for n, f in made.items()})
-        rows = numbered(self.df, self._keys(), self.scratch).withColumn("__s", F.floor(F.col("__row") / STRETCH))
-        # the last rows of a stretch also stand before the next one
-        late = F.col("__row") % STRETCH >= STRETCH - reach
-        dealt = rows.withColumn("__to", F.explode(F.when(late, F.array(F.col("__s"), F.col("__s") + 1)).otherwise(F.array(F.col("__s")))))
-        w = Window.partitionBy("__to").orderBy("__row")
+        size = max(STRETCH, reach)
+        # the last rows of a stretch also stand before the next one; none is needed further on
+        late = F.col("__row") % size >= size - reach
+        dealt = self._stretches(size).withColumn("__to", F.explode(F.when(late, F.array(F.col("__s"), F.col("__s") + 1)).otherwise(F.array(F.col("__s")))))
+        w = Window.partitionBy("__to", *series).orderBy("__row")
         out = dealt.withColumns({n: f(w) for n, f in made.items()}).where("__to = __s")
         return out.select(*[q(n) for n in names if n not in made], *[q(n) for n in made])
 
     def _neighbours(self, x: Column) -> tuple[DataFrame, Column, Column, Column, Column, Column]:
-        """Rows with the previous and next non-null value and where they stand: frame, row, prev, prev row, next, next row."""
+        """Rows with the previous and next non-null value and where they stand: frame, row, prev, prev row, next, next row.
+
+        The next value is the last one of the reverse order, so both are running values.
+        """
         mark = F.when(x.isNotNull(), F.struct(F.col("__row").alias("at"), q(self.ts).alias("ts"), x.alias("v")))
-        if self.parts:
-            group = Window.partitionBy(*[q(c) for c in self.parts]).orderBy(*self._keys())
-            rows = self.df.withColumn("__row", F.row_number().over(group).cast("long"))
-            back, ahead = group.rowsBetween(Window.unboundedPreceding, 0), group.rowsBetween(0, Window.unboundedFollowing)
-            found = rows.withColumns({"__prev": F.last(mark, ignorenulls=True).over(back), "__next": F.first(mark, ignorenulls=True).over(ahead)})
+        series = [q(c) for c in self.parts]
+        last = lambda c, w, until: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, until))
+        both = lambda c, w, at, until: (last(c, w.orderBy(F.col(at)), until), last(c, w.orderBy(F.desc(at)), until))
+        if self._short():
+            group = Window.partitionBy(*series)
+            prev, after = both(mark, group, "__row", 0)
+            rows = self.df.withColumn("__row", F.row_number().over(group.orderBy(*self._keys())).cast("long"))
+            found = rows.withColumns({"__prev": prev, "__next": after})
         else:
-            rows = numbered(self.df, self._keys(), self.scratch).withColumn("__s", F.floor(F.col("__row") / STRETCH))
-            # one row for each stretch carries its first and last value to its neighbours
-            edges = rows.groupBy("__s").agg(F.min_by(mark, F.when(mark.isNotNull(), F.col("__row"))).alias("lo"), F.max_by(mark, F.when(mark.isNotNull(), F.col("__row"))).alias("hi"))
-            over = Window.orderBy("__s")
-            carried = edges.select("__s", F.last("hi", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-            w = Window.partitionBy("__s").orderBy("__row")
-            inner = rows.withColumns({"__prev": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-            found = inner.join(carried, "__s", "left").withColumns({"__prev": F.coalesce("__prev", "before"), "__next": F.coalesce("__next", "after")})
+            rows = self._stretches(STRETCH)
+            # a row for each stretch and series carries its first and last value to its neighbours
+            known = F.when(mark.isNotNull(), F.col("__row"))
+            keys = [f"__k{i}" for i in range(len(series))]
+            edges = rows.groupBy(F.col("__s").alias("__e"), *[c.alias(k) for c, k in zip(series, keys, strict=True)]).agg(F.min_by(mark, known).alias("lo"), F.max_by(mark, known).alias("hi"))
+            over = Window.partitionBy(*keys)
+            carried = edges.select("__e", *keys, both(F.col("hi"), over, "__e", -1)[0].alias("before"), both(F.col("lo"), over, "__e", -1)[1].alias("after"))
+            prev, after = both(mark, Window.partitionBy("__s", *series), "__row", 0)
+            inner = rows.withColumns({"__prev": prev, "__next": after})
+            same = F.col("__s") == F.col("__e")
+            for c, k in zip(series, keys, strict=True):
+                same = same & c.eqNullSafe(F.col(k))
+            found = inner.join(carried, same, "left").withColumns({"__prev": F.coalesce("__prev", "before"), "__next": F.coalesce("__next", "after")})
         p, n = F.col("__prev"), F.col("__next")
         return found, F.col("__row"), p["v"], p["at"], n["v"], n["at"]
 
+    def is_chronological(self) -> bool:
+        """Whether timestamps never fall in the order of the order columns, or without any in the order in which the rows are stored; not if any is missing."""
+        own = SeriesPrep(self.df.select(F.struct(*[q(c) for c in self.order]).alias("__at") if self.order else F.monotonically_increasing_id().alias("__at"), q(self.ts).alias("__ts")), "__ts")
+        own._keys = lambda: [F.col("__at"), F.col("__ts")]
+        falls = own._look_back({"__falls": lambda w: F.col("__ts").isNull() | (F.lag("__ts").over(w) > F.col("__ts"))}, 1)
+        return falls.where("__falls").isEmpty()
+
     def detect_issues(self) -> dict:
         ts, x = q(self.ts), value(self.df, self.value) if self.value else None
         wanted = {
@@ -129,6 +161,7 @@ class SeriesPrep:
         found = fuse(self.df, wanted)
         found["duplicate_timestamps"] = found["total_records"] - found.pop("distinct") - (1 if found["missing_timestamps"] else 0)
         found["gaps"] = self.gaps().count()
+        found["is_chronological"] = self.is_chronological()
         return found
 
     def gaps(self, factor: float = 2.0) -> DataFrame:
@@ -138,8 +171,20 @@ class SeriesPrep:
         stepped = self._look_back({"__step": lambda w: F.timestamp_diff("MICROSECOND", F.lag(q(self.ts)).over(w), q(self.ts)) / 1e6}, 1)
         self.df = old
         stepped = stepped.select(q(self.ts).alias("timestamp"), F.col("__step").alias("seconds")).where("seconds IS NOT NULL")
-        middle = fuse(stepped, {"m": F.median("seconds")})["m"]
-        return stepped.where(F.col("seconds") > F.lit(middle if middle is not None else 0.0) * factor)
+        stepped = self.scratch.save(stepped)
+        middle = quantiles(stepped, {"m": F.col("seconds")}, [0.5])["m"]
+        return stepped.where(F.col("seconds") > F.lit(middle[0] if middle else 0.0) * factor)
+
+    def _calendar(self, ends: DataFrame, f: Frequency, low: str, high: str, name: str) -> DataFrame:
+        """The calendar of each row of ends, whose other columns stay; long ones are expanded in parallel."""
+        kept = [q(c) for c in ends.columns if c not in (low, high)]
+        if not f.seconds:
+            return ends.select(*kept, F.explode(f.months_between(F.col(low), F.col(high))).alias(name))
+        steps = F.floor(F.timestamp_diff("SECOND", F.col(low), F.col(high)) / f.seconds)
+        blocks = ends.select(*kept, F.col(low).alias("__from"), steps.alias("__n"), F.explode(F.sequence(F.lit(0).cast("long"), steps, F.lit(CALENDAR_STEPS).cast("long"))).alias("__b"))
+        blocks = blocks.repartition(int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__b")
+        step = F.explode(F.sequence(F.col("__b"), F.least(F.col("__b") + (CALENDAR_STEPS - 1), F.col("__n"))))
+        return blocks.select(*kept, "__from", step.alias("__i")).select(*kept, F.timestamp_add("SECOND", F.col("__i") * f.seconds, F.col("__from")).alias(name))
 
     def sort_by_time(self) -> DataFrame:
         return self._set(self.df.orderBy(*self._keys()), "sort_by_time")
@@ -162,7 +207,7 @@ class SeriesPrep:
         f = Frequency(freq)
         ends = self.df.groupBy(*[q(c) for c in self.parts]).agg(F.min(q(self.ts)).alias("__a"), F.max(q(self.ts)).alias("__b"))
         low = F.next_day(F.date_sub("__a", 1), "SUN").cast("timestamp_ntz") if f.unit == "W" else F.col("__a")
-        spine = ends.where("__a IS NOT NULL").select(*[q(c) for c in self.parts], F.explode(f.spine(low, F.col("__b"))).alias(self.ts))
+        spine = self._calendar(ends.where("__a IS NOT NULL").withColumn("__a", low), f, "__a", "__b", self.ts)
         out = spine.join(self.df, [*self.parts, self.ts], "left").select(*[q(c) for c in self.df.columns])
         return self._set(out, "fill_missing_timestamps", freq=freq)
 
@@ -238,7 +283,7 @@ class SeriesPrep:
         made = rows.groupBy(*keys, f.bucket(q(self.ts), origin).alias("__b")).agg(*[known[agg_func](value(self.df, c)).alias(c) for c in columns])
         made = self.scratch.save(made)
         ends = made.groupBy(*keys).agg(F.min("__b").alias("__lo"), F.max("__b").alias("__hi"))
-        spine = ends.select(*keys, F.explode(f.spine(F.col("__lo"), F.col("__hi"))).alias("__b"))
+        spine = self._calendar(ends.where("__lo IS NOT NULL"), f, "__lo", "__hi", "__b")
         zero = agg_func in ("sum", "count")
         cells = [F.coalesce(q(c), F.lit(0).cast(made.schema[c].dataType)).alias(c) if zero else q(c) for c in columns]
         out = spine.join(made, [*self.parts, "__b"], "left").select(*keys, F.col("__b").alias(self.ts), *cells)

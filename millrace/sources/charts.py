@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.eda import correlations, top_values
-from millrace.plans.stats import fuse, null_count, quantile
+from millrace.plans.stats import fuse, null_count, quantiles
 from millrace.schema import categorical_columns, number, numeric_columns, row_hash
 
 BAR = "#3b6ea5"
@@ -37,9 +37,9 @@ def bars(title: str, rows: list[tuple[str, float]], unit: str = "") -> str:
 
 
 def five_numbers(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
-    """Minimum, quartiles and maximum of each column, in one scan."""
-    found = fuse(df, {c: quantile(number(df, c), [0.0, 0.25, 0.5, 0.75, 1.0]) for c in columns}) if columns else {}
-    return {c: list(v) for c, v in found.items() if v}
+    """Minimum, quartiles and maximum of each column."""
+    found = quantiles(df, {c: number(df, c) for c in columns}, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return {c: v for c, v in found.items() if v}
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
