@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import balance, clean, detect, eda, features, graph, impute, text
 from millrace.operators.timeseries import SeriesPrep
+from millrace.plans.pipeline import Prep
 from millrace.plans.stats import missing_table
 from millrace.sources import charts
 
@@ -83,6 +84,16 @@ def tabular_pipeline(spark, sf_dir):
     return df.select("l_orderkey", "l_linenumber", *[r(c, 5).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")])
 
 
+@query(f"""
+    WITH a AS (SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, coalesce(l_quantity, (SELECT median(l_quantity) FROM {LI})) AS l_quantity, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS l_returnflag FROM {LI})
+    SELECT {", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) AS {c}" for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))} FROM a""")
+def prep_clean(spark, sf_dir):
+    """The chained entry point: detect, impute, encode, scale."""
+    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    df, _ = Prep(lineitem_with_nulls(spark, sf_dir).select(*columns), {"detection": {"outlier_method": "zscore"}, "cleaning": {"remove_outliers": False}}).clean()
+    return df.select(*[r(c, 5).alias(c) for c in columns])
+
+
 # ---- detection
 
 
@@ -209,6 +220,24 @@ def balance_under(spark, sf_dir):
     return balance.balance_classes(table(spark, sf_dir, "labels"), "toxic", "undersample").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+    WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT toxic, n, (SELECT max(n) FROM c) AS most FROM c)
+    SELECT toxic, CAST(k AS BIGINT) AS copies, CAST(CASE WHEN k = most // n THEN n - most % n ELSE most % n END AS BIGINT) AS rows
+    FROM (SELECT *, unnest([most // n, most // n + 1]) AS k FROM t) WHERE rows > 0""")
+def balance_over_copies(spark, sf_dir):
+    """How many rows of each class occur how often: each as often as any other, or once more."""
+    rows = balance.balance_classes(table(spark, sf_dir, "labels"), "toxic").groupBy("doc_id", "toxic").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.groupBy("toxic", "copies").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT toxic, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic)) AS documents, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic)) AS found FROM labels GROUP BY toxic")
+def balance_under_rows(spark, sf_dir):
+    """Distinct documents that stay of each class, and how many of these rows the table holds."""
+    labels = table(spark, sf_dir, "labels")
+    rows = balance.balance_classes(labels, "toxic", "undersample").join(labels.withColumn("known", F.lit(1)), labels.columns, "left")
+    return rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("documents"), F.count("known").alias("found"))
+
+
 @query("SELECT toxic, (SELECT max(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic)) AS n FROM labels GROUP BY toxic")
 def balance_smote(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("quality", "n_chars", "toxic")
@@ -229,14 +258,32 @@ def split_dataset(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("SELECT c_custkey, 1 AS parts, 1 AS copies FROM customer")
+def split_dataset_rows(spark, sf_dir):
+    """In how many parts each row is, and how often."""
+    parts = [p.select("c_custkey", F.lit(i).alias("part")) for i, p in enumerate(balance.split_rows(table(spark, sf_dir, "customer")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("c_custkey").agg(F.countDistinct("part").alias("parts"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def shuffle_dataset(spark, sf_dir):
+    return balance.shuffle_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
+
+
 def _parts(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("p_size"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("p_retailprice"))
     return df
 
 
-@query()
+@query("""
+    WITH p AS (SELECT p_partkey AS k, CAST(CASE WHEN p_partkey % 5 <> 0 THEN p_size END AS DOUBLE) AS s, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS r FROM part),
+    d AS (SELECT a.k, b.k AS j, b.s, b.r, ((a.k - b.k) ** 2 + coalesce((a.s - b.s) ** 2, 0) + coalesce((a.r - b.r) ** 2, 0)) * 3 / (1 + CAST(a.s + b.s IS NOT NULL AS INTEGER) + CAST(a.r + b.r IS NOT NULL AS INTEGER)) AS d
+        FROM p a JOIN p b ON a.k <> b.k WHERE a.s IS NULL OR a.r IS NULL),
+    s AS (SELECT k, avg(s) AS s FROM (SELECT * FROM d WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, j) <= 5) GROUP BY k),
+    r AS (SELECT k, avg(r) AS r FROM (SELECT * FROM d WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY d, j) <= 5) GROUP BY k)
+    SELECT p.k AS p_partkey, round(coalesce(p.s, s.s), 6) AS p_size, round(coalesce(p.r, r.r), 6) AS p_retailprice FROM p LEFT JOIN s ON s.k = p.k LEFT JOIN r ON r.k = p.k""")
 def impute_knn(spark, sf_dir):
-    return impute.impute_knn(_parts(spark, sf_dir))
+    return impute.impute_knn(_parts(spark, sf_dir)).withColumns({c: r(c) for c in ("p_size", "p_retailprice")})
 
 
 @query()
@@ -334,12 +381,11 @@ def text_vocabulary(spark, sf_dir):
 _TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
-def _errors(spark, sf_dir):
-    df = table(spark, sf_dir, "events").where("event_type = 'error'")
-    return df.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("value").alias("value"))
+def _minutes(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.date_trunc("minute", "ts").alias("ts")).agg(F.sum("value").alias("value"))
 
 
-_ERRORS = "(SELECT date_trunc('hour', ts) AS ts, sum(value) AS value FROM events WHERE event_type = 'error' GROUP BY 1)"
+_MINUTES = "(SELECT date_trunc('minute', ts) AS ts, sum(value) AS value FROM events GROUP BY 1)"
 
 
 def _series(spark, sf_dir):
@@ -357,10 +403,18 @@ def ts_detect(spark, sf_dir):
 
 
 @query(f"""
-    WITH s AS (SELECT ts, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) AS d FROM {_ERRORS})
+    WITH s AS (SELECT ts, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) AS d FROM events)
     SELECT {_TS.format('ts')} AS timestamp, round(d / 1e6, 6) AS seconds FROM s WHERE d > 2 * (SELECT median(d) FROM s)""")
 def ts_gaps(spark, sf_dir):
-    return SeriesPrep(_errors(spark, sf_dir), "ts", "value").gaps().select(shown("timestamp"), r("seconds").alias("seconds"))
+    return SeriesPrep(table(spark, sf_dir, "events"), "ts", "value", order=["event_id"]).gaps().select(shown("timestamp"), r("seconds").alias("seconds"))
+
+
+@query("""
+    SELECT 'event_id' AS by, count(*) = 0 AS is_chronological FROM (SELECT lag(ts) OVER (ORDER BY event_id) > ts AS falls FROM events) WHERE falls
+    UNION ALL SELECT 'ts', TRUE""")
+def ts_chronological(spark, sf_dir):
+    rows = [(c, SeriesPrep(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", order=[c]).is_chronological()) for c in ("event_id", "ts")]
+    return spark.createDataFrame(rows, "by string, is_chronological boolean")
 
 
 @query(f"SELECT {_TS.format('l_shipdate')} AS l_shipdate, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) AS l_quantity, min(l_orderkey * 10 + l_linenumber) AS k FROM lineitem GROUP BY lineitem.l_shipdate")
@@ -375,9 +429,9 @@ def ts_dedupe_agg(spark, sf_dir):
     return SeriesPrep(df, "l_shipdate", "l_quantity", order=["k"]).remove_duplicate_timestamps(aggregate="mean").select(shown("l_shipdate"), r("l_quantity").alias("l_quantity"), "k")
 
 
-@query(f"SELECT {_TS.format('s.ts')} AS ts, round(e.value, 6) AS value FROM (SELECT unnest(generate_series((SELECT min(ts) FROM {_ERRORS}), (SELECT max(ts) FROM {_ERRORS}), INTERVAL 1 HOUR)) AS ts) s LEFT JOIN {_ERRORS} e ON e.ts = s.ts")
+@query(f"SELECT {_TS.format('s.ts')} AS ts, round(e.value, 6) AS value FROM (SELECT unnest(generate_series((SELECT min(ts) FROM {_MINUTES}), (SELECT max(ts) FROM {_MINUTES}), INTERVAL 1 MINUTE)) AS ts) s LEFT JOIN {_MINUTES} e ON e.ts = s.ts")
 def ts_fill(spark, sf_dir):
-    return SeriesPrep(_errors(spark, sf_dir), "ts", "value").fill_missing_timestamps("h").select(shown("ts"), r("value").alias("value"))
+    return SeriesPrep(_minutes(spark, sf_dir), "ts", "value").fill_missing_timestamps("min").select(shown("ts"), r("value").alias("value"))
 
 
 def _filled(spark, sf_dir, method):
@@ -485,17 +539,18 @@ def ts_resample_m(spark, sf_dir):
 
 # ---- graphs
 
-_EDGES = """(SELECT o_custkey AS source, o_orderkey % 3000 AS target FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 4 = 0
-    UNION ALL SELECT o_custkey, o_orderkey % 3000 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 8 = 0
-    UNION ALL SELECT c_custkey, c_custkey FROM customer WHERE c_custkey % 50 = 0)"""
+# every order is an edge twice (so edges repeat), and every customer has a loop
+
+_EDGES = """(SELECT o_custkey AS source, o_orderkey % 3000 AS target FROM orders
+    UNION ALL SELECT o_custkey, o_orderkey % 3000 FROM orders
+    UNION ALL SELECT c_custkey, c_custkey FROM customer)"""
 
 
 def _graph(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    pairs = orders.select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 3000).alias("target"), "o_orderkey")
-    loops = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("source"), F.col("c_custkey").alias("target"))
-    edges = pairs.where("o_orderkey % 4 = 0").drop("o_orderkey").unionAll(pairs.where("o_orderkey % 8 = 0").drop("o_orderkey")).unionAll(loops)
-    return graph.GraphPrep(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), edges)
+    customers = table(spark, sf_dir, "customer")
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 3000).alias("target"))
+    loops = customers.select(F.col("c_custkey").alias("source"), F.col("c_custkey").alias("target"))
+    return graph.GraphPrep(customers.select(F.col("c_custkey").alias("id")), pairs.unionAll(pairs).unionAll(loops))
 
 
 @query(f"""
@@ -538,10 +593,13 @@ def edge_features(spark, sf_dir):
 
 
 @query(f"""
-    WITH RECURSIVE e AS MATERIALIZED (SELECT source AS a, target AS b FROM {_EDGES} UNION SELECT target, source FROM {_EDGES}),
-    reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
-    m AS (SELECT c_custkey AS id, least(c_custkey, coalesce(min(b) FILTER (b IN (SELECT c_custkey FROM customer)), c_custkey)) AS m FROM customer LEFT JOIN reach ON a = c_custkey GROUP BY c_custkey)
-    SELECT id, dense_rank() OVER (ORDER BY m) - 1 AS component_id FROM m""")
+    WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT source AS a, target AS b FROM {_EDGES} UNION SELECT target, source FROM {_EDGES}),
+    cc(id, m) USING KEY (id) AS (
+        SELECT a, a FROM e GROUP BY a
+        UNION SELECT e.a, min(c.m) FROM e JOIN cc c ON c.id = e.b JOIN recurring.cc u ON u.id = e.a WHERE c.m < u.m GROUP BY e.a),
+    n AS (SELECT c_custkey AS id, coalesce(m, c_custkey) AS m FROM customer LEFT JOIN cc ON cc.id = c_custkey),
+    s AS (SELECT id, min(id) OVER (PARTITION BY m) AS least FROM n)
+    SELECT id, dense_rank() OVER (ORDER BY least) - 1 AS component_id FROM s""")
 def graph_components(spark, sf_dir):
     return _graph(spark, sf_dir).identify_components()
 
@@ -567,77 +625,6 @@ def graph_stats(spark, sf_dir):
     return spark.createDataFrame([(s["num_nodes"], s["num_edges"], float(s["density"]))], "num_nodes long, num_edges long, density double").withColumn("density", r("density", 9))
 
 
-# the same on every order (twice, so edges repeat) and a loop for every customer
-
-_ALL_EDGES = """(SELECT o_custkey AS source, o_orderkey % 3000 AS target FROM orders
-    UNION ALL SELECT o_custkey, o_orderkey % 3000 FROM orders
-    UNION ALL SELECT c_custkey, c_custkey FROM customer)"""
-
-
-def _whole_graph(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer")
-    pairs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 3000).alias("target"))
-    loops = customers.select(F.col("c_custkey").alias("source"), F.col("c_custkey").alias("target"))
-    return graph.GraphPrep(customers.select(F.col("c_custkey").alias("id")), pairs.unionAll(pairs).unionAll(loops))
-
-
-def _on_all_edges(name: str) -> str:
-    return ORACLES[name].replace(_EDGES, _ALL_EDGES)
-
-
-@query(_on_all_edges("graph_detect"))
-def graph_detect_all(spark, sf_dir):
-    found = _whole_graph(spark, sf_dir).detect_issues()
-    names = ("total_nodes", "total_edges", "duplicate_edges", "self_loops", "dangling_edges")
-    return spark.createDataFrame([tuple(int(found[n]) for n in names)], ", ".join(f"{n} long" for n in names))
-
-
-@query(_on_all_edges("edge_validate"))
-def edge_validate_all(spark, sf_dir):
-    return _whole_graph(spark, sf_dir).validate_edges()
-
-
-@query(_on_all_edges("edge_dedupe"))
-def edge_dedupe_all(spark, sf_dir):
-    return _whole_graph(spark, sf_dir).remove_duplicate_edges()
-
-
-@query(_on_all_edges("node_features"))
-def node_features_all(spark, sf_dir):
-    return _whole_graph(spark, sf_dir).add_node_features()
-
-
-@query(_on_all_edges("edge_features"))
-def edge_features_all(spark, sf_dir):
-    return _whole_graph(spark, sf_dir).add_edge_features()
-
-
-@query()  # the recursive SQL is too slow here; a test holds it against union-find
-def graph_components_all(spark, sf_dir):
-    return _whole_graph(spark, sf_dir).identify_components()
-
-
-@query(_on_all_edges("graph_isolated"))
-def graph_isolated_all(spark, sf_dir):
-    return _whole_graph(spark, sf_dir).filter_isolated_nodes()
-
-
-@query(_on_all_edges("graph_adjacency"))
-def graph_adjacency_all(spark, sf_dir):
-    return _whole_graph(spark, sf_dir).adjacency().select("node", F.array_join(F.array_sort("neighbours"), ",").alias("neighbours"))
-
-
-@query(_on_all_edges("graph_edge_list"))
-def graph_edge_list_all(spark, sf_dir):
-    return _whole_graph(spark, sf_dir).edge_list()
-
-
-@query(_on_all_edges("graph_stats"))
-def graph_stats_all(spark, sf_dir):
-    s = _whole_graph(spark, sf_dir).get_graph_stats()
-    return spark.createDataFrame([(s["num_nodes"], s["num_edges"], float(s["density"]))], "num_nodes long, num_edges long, density double").withColumn("density", r("density", 9))
-
-
 # ---- features
 
 
@@ -713,7 +700,11 @@ def feature_variance(spark, sf_dir):
     return _scores(spark, features.variances(table(spark, sf_dir, "lineitem"), list(_MEASURES)))
 
 
-@query()
+@query(" UNION ALL ".join(f"""
+    SELECT '{c}' AS feature, round((SELECT sum(n / t * ln(n * t / (a * b))) FROM (
+        SELECT CAST(n AS DOUBLE) AS n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY x) AS a, sum(n) OVER (PARTITION BY y) AS b FROM (
+            SELECT l_returnflag AS y, len(list_filter(e, lambda t: t <= {c} AND t < m)) AS x, count(*) AS n
+            FROM lineitem, (SELECT quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e, max({c}) AS m FROM lineitem) GROUP BY 1, 2))), 4) AS score""" for c in _MEASURES))
 def feature_mutual_info(spark, sf_dir):
     return _scores(spark, features.mutual_information(table(spark, sf_dir, "lineitem"), list(_MEASURES), "l_returnflag"))
 

@@ -162,6 +162,11 @@ def smote(df: DataFrame, target: str, sampling_strategy: str | float = "auto", k
     return out
 
 
+def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
+    """All rows in an order that depends on their content and the seed alone: a range sort by hash."""
+    return df.withColumn("__h", row_hash(df, seed)).orderBy("__h").drop("__h")
+
+
 def split_rows(df: DataFrame, shares: tuple[float, ...] = (0.7, 0.15, 0.15), seed: int = 42) -> list[DataFrame]:
     """Disjoint parts of exact sizes (rounded down; the rest goes to the last), by hash order."""
     if abs(sum(shares) - 1) > 1e-6:

@@ -1,12 +1,16 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import balance, clean, detect, impute
+from millrace.operators.balance import shuffle_rows
+from millrace.operators.clean import encode_categorical
 from millrace.operators.forest import IsolationForest
+from millrace.plans import stats
 from millrace.plans.pipeline import Prep
 from millrace.plans.stats import missing_table, modes
 
@@ -184,3 +188,36 @@ def test_empty_frames(spark):
     assert clean.scale_features(df).count() == 0
     assert balance.balance_classes(df, "y").count() == 0
     assert detect.flag_outliers(df, "zscore").count() == 0
+
+
+@pytest.mark.parametrize("few", [1, 40, 20_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, few):
+    monkeypatch.setattr(stats, "FEW", few)
+    monkeypatch.setattr(stats, "ACCURACY", 20)
+    monkeypatch.setattr(stats, "MARGIN", 0.1)
+    rng = np.random.default_rng(3)
+    columns = {"even": rng.normal(size=700), "two": rng.choice([1.0, 2.0], 700), "ties": np.round(rng.exponential(size=700), 1), "one": np.full(700, 5.0)}
+    rows = [tuple(float(v[i]) if (i + k) % 9 else None for k, v in enumerate(columns.values())) for i in range(700)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).withColumn("none", F.lit(None).cast("double")).repartition(3)
+    shares = [0.0, 0.25, 0.5, 0.77, 1.0]
+    found = stats.quantiles(df, {c: F.col(c) for c in [*columns, "none"]}, shares)
+    assert found.pop("none") is None
+    for k, c in enumerate(columns):
+        np.testing.assert_allclose(found[c], np.quantile([r[k] for r in rows if r[k] is not None], shares), rtol=1e-12)
+
+
+def test_label_codes_of_values_with_one_beginning(spark):
+    df = spark.range(2000).select(F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("name"), "id").repartition(4)
+    assert encode_categorical(df).where("name <> id").count() == 0
+
+
+def test_one_hot_has_no_cap(spark):
+    df = spark.range(1200).select(F.format_string("v%04d", "id").alias("v"))
+    out = encode_categorical(df, "onehot")
+    assert len(out.columns) == 1199 and out.columns[0] == "v_v0001"
+
+
+def test_shuffle(spark):
+    df = spark.range(200)
+    a, b = ([r["id"] for r in shuffle_rows(d, 1).collect()] for d in (df, df.repartition(7)))
+    assert a == b and sorted(a) == list(range(200)) and a != sorted(a) and a != [r["id"] for r in shuffle_rows(df, 2).collect()]

@@ -74,6 +74,42 @@ def test_stretches_and_halos_change_nothing(spark, monkeypatch):
     assert SeriesPrep(series(spark, values), "date", "value").interpolate_missing("linear").orderBy("date").collect() == want_fill
 
 
+def test_functions_look_back_over_several_stretches(spark, monkeypatch):
+    values = [None if i % 7 == 0 else float(i * i % 23) for i in range(1, 70)]
+    frame = pd.Series(values, dtype=float)
+    monkeypatch.setattr(timeseries, "STRETCH", 10)
+    got = SeriesPrep(series(spark, values), "date", "value").add_lag_features([25, 41]).orderBy("date").collect()
+    for k in (25, 41):
+        assert [r[f"value_lag_{k}"] for r in got] == [None if pd.isna(x) else x for x in frame.shift(k)]
+    filled = frame.fillna(0)
+    rolled = SeriesPrep(series(spark, filled.tolist()), "date", "value").add_rolling_features([33], ["mean", "max"]).orderBy("date").collect()
+    for f in ("mean", "max"):
+        want = getattr(filled.rolling(33), f)()
+        assert [None if r[f"value_rolling_{f}_33"] is None else round(r[f"value_rolling_{f}_33"], 9) for r in rolled] == [None if pd.isna(x) else round(x, 9) for x in want]
+
+
+def test_a_long_series_of_several_is_cut_up(spark, monkeypatch):
+    rows = [(p, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), None if i % 4 == 0 or 15 < i < 40 else float(i + 100 * (p or 0))) for p, n in ((1, 70), (2, 3), (None, 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "p int, date timestamp_ntz, value double")
+    make = lambda: [SeriesPrep(df, "date", "value", ["p"]).add_lag_features([1, 12]), *(SeriesPrep(df, "date", "value", ["p"]).interpolate_missing(m) for m in ("linear", "bfill", "ffill"))]
+    want = [d.orderBy("p", "date").collect() for d in make()]
+    monkeypatch.setattr(timeseries, "STRETCH", 10)
+    assert [d.orderBy("p", "date").collect() for d in make()] == want
+    by_key = {(r["p"], r["date"].hour + 24 * (r["date"].day - 1)): r["value_lag_12"] for r in want[0]}
+    assert by_key[1, 69] == 157 and by_key[None, 13] == 1 and by_key[2, 2] is None
+
+
+def test_chronological(spark):
+    d = lambda n: dt.datetime(2024, 1, n)
+    rows = [(1, d(1)), (2, d(1)), (3, d(4)), (4, d(3))]
+    df = spark.createDataFrame(rows, "k int, date timestamp_ntz")
+    assert not SeriesPrep(df, "date", order=["k"]).detect_issues()["is_chronological"]
+    assert not SeriesPrep(df.coalesce(1), "date").is_chronological()
+    assert SeriesPrep(df.where("k < 4"), "date", order=["k"]).detect_issues()["is_chronological"]
+    assert SeriesPrep(df.where("k < 4").coalesce(1), "date").is_chronological()
+    assert not SeriesPrep(spark.createDataFrame([(1, None), (2, d(1))], df.schema), "date", order=["k"]).is_chronological()
+
+
 def test_calendar(spark):
     d = lambda n: dt.datetime(2024, 1, n)
     df = spark.createDataFrame([(d(1), 1), (d(2), 2), (d(5), 3), (d(8), 4)], "date timestamp_ntz, value long")
@@ -143,5 +179,5 @@ def test_components_of_all_orders_equal_union_find(spark, sf):
         above[root(customer)] = root(order % 3000)
     numbers = {}
     want = {c: numbers.setdefault(root(c), len(numbers)) for c in customers}
-    assert QUERIES["graph_edge_list_all"](spark, folder).count() == 2 * len(orders) + len(customers)
-    assert {r["id"]: r["component_id"] for r in QUERIES["graph_components_all"](spark, folder).collect()} == want
+    assert QUERIES["graph_edge_list"](spark, folder).count() == 2 * len(orders) + len(customers)
+    assert {r["id"]: r["component_id"] for r in QUERIES["graph_components"](spark, folder).collect()} == want
