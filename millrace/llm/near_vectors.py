@@ -9,7 +9,9 @@ each vector is compared with a window of neighbours, and pairs of the wanted
 cosine are linked. Passes are independent, so one range shuffle by (pass, hash)
 sorts all of them; the last and first rows of neighbouring partitions meet in a
 second step, so a window does not end at a border. Links of all passes are united
-into components. Direct links are then counted exactly: linked vectors are in one
+into components. Passes run in rounds of a bounded number of rows (ROUND_ROWS, two
+passes at least), so that shuffle files take a few times the table's size however
+many passes are planned. Direct links are then counted exactly: linked vectors are in one
 component by definition, so the members of each component are compared in blocks
 of bounded size.
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +55,11 @@ PASS_COST = 1000
 #: Directions of a cross-polytope hash, at most.
 DIRECTIONS = 64
 SIGNS = 20
-BLOCK = 1024
+#: Members of a component that one side of a comparison holds, and rows of it that are multiplied at once.
+BLOCK = 4096
+SLICE = 512
+#: Rows of all passes that are shuffled together.
+ROUND_ROWS = 20_000_000
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -120,10 +127,10 @@ def plan(n: int, dims: int, cosine: float, mean: np.ndarray, recall: float = REC
     return best[1], best[2]
 
 
-def directions(dims: int, passes: int, seed: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
+def directions(dims: int, passes: range, seed: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
     """The random directions of each pass: those of its cross-polytope hashes, and those of its signs."""
     out = []
-    for p in range(passes):
+    for p in passes:
         rng = np.random.default_rng([seed, p])
         hashes = max(1, int(28 / math.log2(2 * min(dims, DIRECTIONS))))
         out.append(([_turn(rng, dims) for _ in range(hashes)], rng.normal(size=(dims, SIGNS))))
@@ -138,8 +145,8 @@ def keys(x: np.ndarray, turns: list[np.ndarray], planes: np.ndarray) -> np.ndarr
     return (key << SIGNS) + ((x @ planes > 0) * (1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))).sum(axis=1)
 
 
-def pass_hashes(vectors: DataFrame, dims: int, passes: int, seed: int, mean: np.ndarray) -> DataFrame:
-    """(pass, hash, id, v) for every vector and pass."""
+def pass_hashes(vectors: DataFrame, dims: int, passes: range, seed: int, mean: np.ndarray) -> DataFrame:
+    """(pass, hash, id, v) for every vector and each of these passes."""
     names = ["pass", "hash", "id", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +154,7 @@ def pass_hashes(vectors: DataFrame, dims: int, passes: int, seed: int, mean: np.
         for batch in batches:
             if batch.num_rows:
                 x = _normal(matrix(batch.column(1), dims)) - mean
-                for p, (turns, planes) in enumerate(drawn):
+                for p, (turns, planes) in zip(passes, drawn, strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(keys(x, turns, planes)), batch.column(0), batch.column(1)], names=names)
 
     return vectors.select("id", "v").mapInArrow(run, f"pass int, hash long, id long, v {vectors.schema['v'].dataType.simpleString()}")
@@ -228,13 +235,17 @@ def count_links(members: DataFrame, dims: int, cosine: float) -> DataFrame:
         block, ids, copies = (table.column(c).to_numpy() for c in ("block", "id", "copies"))
         x = _normal(matrix(table.column("v"), dims))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = x[left] @ x[right].T >= cosine
+        of_left, of_right = np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)
+        for a in range(0, len(left), SLICE):
+            part = left[a : a + SLICE]
+            near = x[part] @ x[right].T >= cosine
+            if i == j:
+                near[np.arange(len(part)), np.arange(a, a + len(part))] = False
+            of_left[a : a + SLICE] = near @ copies[right]
+            of_right += copies[part] @ near
         if i == j:
-            np.fill_diagonal(near, False)
-            found, links = ids[left], near @ copies[right]
-        else:
-            found, links = np.concatenate([ids[left], ids[right]]), np.concatenate([near @ copies[right], copies[left] @ near])
-        return pa.table({"id": found, "links": links.astype(np.int64)})
+            return pa.table({"id": ids[left], "links": of_left})
+        return pa.table({"id": np.concatenate([ids[left], ids[right]]), "links": np.concatenate([of_left, of_right])})
 
     counted = rows.groupBy("component", "i", "j").applyInArrow(compare, "id long, links long")
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
@@ -252,10 +263,15 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, passes: int | None = Non
     n, mean = centre(classes, dims)
     planned = plan(n, dims, cosine, mean)
     passes, window = passes or planned[0], window or planned[1]
-    # partitions hold several windows, so that a window meets no more than one border
-    parts = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * passes // 100_000), n * passes // (4 * window)))
-    links = window_links(pass_hashes(classes, dims, passes, seed, mean), dims, window, cosine, scratch, parts)
-    labels = scratch.save(components(links, scratch).withColumnRenamed("node", "id"), "labels")
+    at_once, links = max(2, ROUND_ROWS // max(n, 1)), []
+    for first in range(0, passes, at_once):
+        some = range(first, min(passes, first + at_once))
+        rows = n * len(some)
+        # partitions hold several windows, so that a window meets no more than one border
+        parts = max(1, min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 100_000), rows // (4 * window)))
+        links.append(window_links(pass_hashes(classes, dims, some, seed, mean), dims, window, cosine, scratch, parts))
+        scratch.drop()
+    labels = scratch.save(components(reduce(DataFrame.unionByName, links), scratch).withColumnRenamed("node", "id"), "labels")
     members = scratch.save(labels.join(classes, "id"), "members")
     counts = count_links(members, dims, cosine)
     of_class = classes.join(labels, "id", "left").join(counts, "id", "left")
