@@ -11,7 +11,8 @@ widened to the article or main element around it; siblings that have a fair
 share of its points stay too.
 
 Null html is empty html; a page without article gives an empty text and
-n_chars 0. Pages of any length and depth are read whole, without recursion.
+n_chars 0. Of containers of equal points the outermost wins, which stands first in
+the page. Pages of any length and depth are read whole, without recursion.
 Extra columns are ignored; repeated rows give repeated rows.
 """
 
@@ -147,9 +148,7 @@ class Page:
                 break
             position = m.end()
             if not m[2]:
-                if m[0].startswith("<![CDATA["):
-                    buffer.append((m[0][9:-3], links > 0))
-                continue
+                continue  # comments, CDATA sections, declarations
             name = m[2].lower()
             if m[1]:
                 if not open_count.get(name):
@@ -207,7 +206,7 @@ class Page:
             if worth <= 0:
                 continue
             at, level = (parents[element] if tags[element] in PARAGRAPHS else element), 0
-            while at > 0 and level < 8:
+            while at > 0:
                 points[at] += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 at, level = parents[at], level + 1
         best, most = 0, 0.0
