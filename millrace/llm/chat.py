@@ -28,8 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand, small_batches, utf8
+from .common import expand, small_batches, steps, utf8
 
+#: Bytes of formatted conversations in one batch; a longer one is a batch of its own.
+MOST_BYTES = 1 << 28
 OPEN, AFTER_ROLE, CLOSE = "<s>", "\n", "</s>"
 #: Strings that mark turns in common chat templates.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -103,7 +105,7 @@ def format_chats(df: DataFrame, conv_column: str = "conv_id", turn_column: str =
     rows = df.select(F.col(f"`{conv_column}`").alias("conv_id"), F.col(f"`{turn_column}`").alias("turn"), F.col(f"`{role_column}`").alias("role"), F.col(f"`{text_column}`").alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
-    def emit(table: pa.Table) -> pa.RecordBatch:
+    def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = table.column("conv_id").combine_chunks()
         names = ids.to_pylist()
         first = np.array([i for i, x in enumerate(names) if i == 0 or x != names[i - 1]], dtype=np.int64)
@@ -112,7 +114,10 @@ def format_chats(df: DataFrame, conv_column: str = "conv_id", turn_column: str =
         loss = np.flatnonzero(pc.equal(roles, loss_role).fill_null(False).to_numpy(zero_copy_only=False))
         bounds = np.searchsorted(loss, np.append(first, len(names))).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[loss])) for x in (start, length)]
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), column.cast(pa.string()), *lists], names=["conv_id", "formatted", "loss_start", "loss_length"])
+        ids = ids.take(pa.array(first))
+        sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+        for a, b in steps(sizes.tolist(), MOST_BYTES):  # a column of strings has 32-bit offsets
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), column.slice(a, b - a).cast(pa.string()), *(x.slice(a, b - a) for x in lists)], names=["conv_id", "formatted", "loss_start", "loss_length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []  # the last conversation so far may go on in the next batch
@@ -128,10 +133,10 @@ def format_chats(df: DataFrame, conv_column: str = "conv_id", turn_column: str =
                 continue
             done = [*waiting, batch.slice(0, last)]
             if sum(b.num_rows for b in done):
-                yield emit(pa.Table.from_batches(done))
+                yield from emit(pa.Table.from_batches(done))
             waiting = [batch.slice(last)]
         if waiting:
-            yield emit(pa.Table.from_batches(waiting))
+            yield from emit(pa.Table.from_batches(waiting))
 
     kind = rows.schema["conv_id"].dataType.simpleString()
     return dealt.mapInArrow(run, f"conv_id {kind}, formatted string, loss_start array<long>, loss_length array<long>")
