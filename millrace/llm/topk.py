@@ -9,7 +9,8 @@ a block could score over its terms. A query takes its blocks in falling order
 of that bound, scores them through their forward index, and stops when the next
 bound is below its k-th score; a bound equal to it still counts, for ties go to
 the smaller id. Every chunk gives its k best, which are merged by one window
-over k rows for each query and chunk.
+over k rows for each query and chunk. Chunks of queries are large, as every
+candidate is sent once for each of them.
 
 Vectors that are null, empty or hold null or non-finite components take no
 part; those of different length are compared as if padded with zeros. A vector
@@ -30,7 +31,9 @@ from .vectors import finite, matrix
 BLOCK = 64
 #: Blocks that a query scores between two looks at its bound.
 STRIDE = 4
-QUERY_CHUNK = 4096
+QUERY_CHUNK = 65_536
+#: Queries whose bounds are held at once.
+SLICE = 1024
 CANDIDATE_CHUNK = 32768
 
 
@@ -49,17 +52,20 @@ def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np
     rows, ids = rows[order], ids[order]
     start = np.arange(0, len(ids), BLOCK)
     high, low = np.maximum.reduceat(rows, start), np.minimum.reduceat(rows, start)
-    # rounding of these sums is covered by the slack; inner products themselves are exact
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
-    bounds += np.abs(bounds) * 1e-9
     forward = rows.astype(exact) if exact is np.float64 else np.array([[int(x) for x in r] for r in rows], dtype=object)
     asked = queries.astype(exact) if exact is np.float64 else np.array([[int(x) for x in r] for r in queries], dtype=object)
     out: list[list] = [[], [], []]
     for q in range(len(query_ids)):
-        turn = np.argsort(-bounds[q], kind="stable")
+        if q % SLICE == 0:
+            part = queries[q : q + SLICE]
+            # rounding of these sums is covered by the slack; inner products themselves are exact
+            bounds = np.maximum(part, 0) @ high.T + np.minimum(part, 0) @ low.T
+            bounds += np.abs(bounds) * 1e-9
+        bound = bounds[q % SLICE]
+        turn = np.argsort(-bound, kind="stable")
         best_score, best_id = np.zeros(0, dtype=exact), np.zeros(0, dtype=np.int64)
         for at in range(0, len(turn), STRIDE):
-            if len(best_id) == k and bounds[q, turn[at]] < best_score[-1]:
+            if len(best_id) == k and bound[turn[at]] < best_score[-1]:
                 break
             taken = (start[turn[at : at + STRIDE], None] + np.arange(BLOCK)).ravel()
             taken = taken[taken < len(ids)]
