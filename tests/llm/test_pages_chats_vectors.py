@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import near_vectors
+from millrace.llm import chat, near_vectors
 from millrace.llm.chat import CONTROL, escape, format_chats, read_back, read_turns, unescape
 from millrace.llm.html_extract import extract, main_text
 from millrace.llm.near_vectors import near_duplicates
@@ -32,6 +32,41 @@ def test_main_text():
     assert main_text("<article><h1>A</h1><p>x<script>y</script>z</article>") == "A\n\nxz"
 
 
+def random_page(rng):
+    """A page of random parts around an article, and the article's blocks."""
+    word = lambda n: " ".join(rng.choice(["alpha", "beta,", "gamma", "delta", "naïve", "words,", "omega"]) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f'<li><a href="/{i}">{word(2)}</a></li>' for i in range(n)) + "</ul>"
+    blocks, body = [], ""
+    for k in range(rng.randint(3, 9)):
+        said = word(rng.randint(20, 60))
+        blocks.append(f"{said} & {k}")
+        open_tag, close_tag = rng.choice([("<p>", "</p>"), ("<p class='x'>", ""), ("<blockquote>", "</blockquote>"), ("<p>", "</p>")])
+        body += f"{open_tag}{said.replace(' ', rng.choice([' ', chr(10) + '  ']), 3)} &amp; <b>{k}</b>{close_tag}"
+        body += rng.choice(["", "<!-- note -->", "<script>var x = '<p>no</p>';</script>", '<div class="advert">Buy now, buy more, buy it all</div>', "<form><p>Name, please</p><input></form>", "<![CDATA[ hidden, words ]]>"])
+    wrap = rng.choice(["<article>{}</article>", '<div id="content"><div>{}</div></div>', "<main>{}</main>", '<section class="post-body">{}</section>'])
+    around = [f"<nav>{links(6)}</nav>", f"<header>{word(6)}</header>", f'<aside><p>{word(25)}</p></aside>', f'<div class="sidebar">{links(5)}<p>{word(30)}</p></div>', f'<div class="cookie-notice"><p>{word(20)}</p></div>']
+    after = [f"<footer>{word(8)}</footer>", f'<div id="comments"><p>{word(80)}</p></div>', f'<div class="related">{links(4)}</div>']
+    rng.shuffle(around)
+    return f"<html><head><title>{word(3)}</title></head><body>{''.join(around[: rng.randint(1, 5)])}{wrap.format(body)}{''.join(after)}</body></html>", blocks
+
+
+def test_articles_of_random_pages():
+    rng = random.Random(12)
+    for _ in range(200):
+        page, blocks = random_page(rng)
+        assert main_text(page) == "\n\n".join(blocks)
+
+
+def test_long_deep_and_tied_pages():
+    long = "word, " * 200_000
+    assert main_text(f"<body><nav><a href='/'>x</a></nav><article><p>{long}</p></article></body>") == long.strip()
+    deep = "<div>" * 30 + "<p>" + "deep words, and more of them, " * 20 + "</p>" + "</div>" * 30
+    assert main_text(deep + "<nav><p>menu, menu, menu, menu, menu</p></nav>").startswith("deep words")
+    twin = "<div><p>" + "the same, words, " * 9 + "</p></div>"
+    assert main_text(f"<body><section>{twin}{twin}</section></body>").count("the same") == 18
+    assert main_text("<article><p>a <![CDATA[<b>not this</b>]]> z</p></article>") == "a z"
+
+
 def test_extract_edges(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 6), (None, "v", "", 7)], "page_id long, url string, html string, text int")
     rows = extract(df).collect()
@@ -69,6 +104,13 @@ def test_chats(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_batches_of_long_chats_are_split(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MOST_BYTES", 500)
+    df = spark.createDataFrame([(c, t, "assistant", f"text {c} {t} " * 9) for c in range(30) for t in range(4)], "conv_id long, turn long, role string, text string")
+    for r in read_back(format_chats(df)).collect():
+        assert r["n_turns"] == 4 and r["loss_sha256"] == hashlib.sha256("".join(f"text {r['conv_id']} {t} " * 9 for t in range(4)).encode()).hexdigest()
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng, rows = np.random.default_rng(3), []

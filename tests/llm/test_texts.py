@@ -214,16 +214,31 @@ def test_substring_query_equals_brute_force(spark):
 
 
 def license_brute(texts):
-    scanner, found = licenses.Scanner(licenses.TEMPLATES), set()
+    """Matches by plain sets of word triples, every window of every text tried; the best of those that overlap."""
+    split = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    triples = lambda w: list(zip(w, w[1:], w[2:], strict=False))
+    found = set()
     for i, t in texts.items():
-        raw, at = utf8(pa.array([t or ""]))
-        hashes = licenses.shingle_rows(raw, at)[0]
-        for k, name in enumerate(scanner.names):
-            best = 0
-            for s in range(len(hashes)):
-                best = max(best, len(set(hashes[s : s + scanner.windows[k]].tolist()) & set(scanner.sets[k].tolist())))
-            if best >= licenses.CONTAINMENT * len(scanner.sets[k]):
-                found.add((i, name, round(best / len(scanner.sets[k]), 9)))
+        own, hits = triples(split(t or "")), []
+        for number, (name, template) in enumerate(licenses.TEMPLATES.items()):
+            all_of_it = triples(split(template))
+            wanted, window = set(all_of_it), 2
+            while window * 3 < len(all_of_it) * 4:
+                window *= 2
+            best = (0, 0, 0)
+            for s in range(len(own)):
+                at = [k for k in range(s, min(len(own), s + window)) if own[k] in wanted]
+                n = len({own[k] for k in at})
+                if n > best[0]:
+                    last = next(k for k in at if len({own[x] for x in at if x <= k}) == n)
+                    best = (n, at[0], last)
+            if best[0] >= licenses.CONTAINMENT * len(wanted):
+                hits.append((-(2 * best[0] - len(wanted)), number, name, round(best[0] / len(wanted), 9), best[1], best[2]))
+        kept = []
+        for hit in sorted(hits):
+            if not any(hit[4] <= k[5] and k[4] <= hit[5] for k in kept):
+                kept.append(hit)
+                found.add((i, hit[2], hit[3]))
     return found
 
 
@@ -242,6 +257,10 @@ def test_licenses_equal_brute_force(spark, odd_documents, no_documents):
     assert {(r["doc_id"], r["license"], round(r["containment"], 9)) for r in rows} == license_brute(texts)
     exact = [r for r in rows if r["license"] == "mit-statement" and r["containment"] == 1][0]
     assert texts[exact["doc_id"]][exact["start"] : exact["end"]] == "Released under the MIT License"
+    two = [licenses.TEMPLATES[x] for x in ("bsd-2-clause", "bsd-3-clause")]
+    assert [r["license"] for r in licenses.scan(spark.createDataFrame([(1, two[0]), (2, two[1])], "doc_id long, text string")).orderBy("doc_id").collect()] == ["bsd-2-clause", "bsd-3-clause"]
+    short = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.sha2(F.col("id").cast("string"), 256), F.lit(" here. All rights reserved, and more "), F.col("id").cast("string")).alias("text"))
+    assert licenses.scan(short).where("license = 'all-rights-reserved'").count() == 1500
     assert licenses.scan(odd_documents).count() == 0 and licenses.scan(no_documents).count() == 0
 
 
@@ -264,6 +283,21 @@ def test_language_id(spark, odd_documents, no_documents):
     assert langid.identify(no_documents).count() == 0
     assert langid.keep_identified(odd_documents).columns == odd_documents.columns
     assert {r["doc_id"] for r in langid.keep_identified(odd_documents).collect()} <= {1, 4, 6}
+    # scores of the whole table by plain loops over n-grams
+    model = langid.fit(df)
+    folded = bytes(langid.FOLDED.tolist())
+    by_id = {r["doc_id"]: r["text"] for r in df.collect()}
+    for r in out[::5]:
+        text = (by_id[r["doc_id"]] or "").encode().translate(folded)
+        grams = [text[i : i + g] for g in langid.GRAMS for i in range(len(text) - g + 1)]
+        if r["lang_pred"] == "und" or not grams:
+            continue
+        total = np.zeros(len(model.languages))
+        for g in grams:
+            total += model.logits[(int.from_bytes(g, "little") * 2654435761 + len(g) * 40503 & 0xFFFFFFFF) >> 16]
+        z = (total / len(grams) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert model.languages[int(p.argmax())] == r["lang_pred"] and abs(p.max() - r["score"]) < 1e-9
     noise = "".join(random.Random(1).choice("zqxjkvwy") for _ in range(3000))
     strange = spark.createDataFrame([(1, noise)], "doc_id long, text string")
     assert langid.predict(strange, langid.fit(df)).first()["rejected"]
