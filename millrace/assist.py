@@ -23,7 +23,8 @@ from millrace.operators.eda import top_values
 from millrace.plans.stats import fuse, moments, null_count
 from millrace.schema import numeric_columns, q, require
 
-# Default end points of the providers.
+# Default models and end points of the providers.
+MODELS = {"openai": "gpt-4", "anthropic": "claude-3-sonnet-20240229", "google": "gemini-pro", "ollama": "llama2"}
 ENDPOINTS = {"openai": "https://api.openai.com/v1", "anthropic": "https://api.anthropic.com", "google": "https://generativelanguage.googleapis.com", "ollama": "http://localhost:11434"}
 
 
@@ -62,7 +63,7 @@ class Advisor:
         env = provider.upper()
         self.provider, self.call = provider, model
         self.api_key = api_key or get_api_key(provider)
-        self.model_name = model_name or os.getenv(f"{env}_MODEL") or os.getenv(f"{env}_DEFAULT_MODEL")
+        self.model_name = model_name or os.getenv(f"{env}_MODEL") or os.getenv(f"{env}_DEFAULT_MODEL") or MODELS[provider]
         self.base_url = base_url or os.getenv(f"{env}_BASE_URL") or ENDPOINTS[provider]
         self.temperature = temperature if temperature is not None else float(os.getenv(f"{env}_TEMPERATURE", "0.7"))
         self.max_tokens = max_tokens if max_tokens is not None else int(os.getenv(f"{env}_MAX_TOKENS", "500"))
@@ -93,8 +94,6 @@ class Advisor:
     def ask(self, task: str, facts: object) -> str:
         prompt = f"{task}\n\nFacts:\n{json.dumps(facts, default=str, indent=1)}"
         try:
-            if self.call is None and not self.model_name:
-                raise ValueError("no model name is set")
             return (self.call or self._send)(prompt)
         except Exception as error:  # an answer is always text
             return f"Error: {error}"

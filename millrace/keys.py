@@ -64,9 +64,29 @@ def list_api_keys() -> dict[str, dict]:
     return out
 
 
+def wizard(ask=input, secret=getpass.getpass) -> int:
+    """Ask for a provider and its key until nothing is answered; returns how many keys were set."""
+    names, count = list(PROVIDERS), 0
+    while True:
+        for i, (name, x) in enumerate(list_api_keys().items(), 1):
+            print(f"{i}. {name}: {x['key'] or 'not set'}")
+        said = ask("Number or name of a provider (empty: done): ").strip().lower()
+        if not said:
+            return count
+        provider = names[int(said) - 1] if said.isdigit() and 0 < int(said) <= len(names) else said
+        if provider not in PROVIDERS:
+            print(f"Unknown provider: {said}")
+        elif not PROVIDERS[provider]:
+            print(f"{provider} needs no key")
+        elif key := secret(f"Key for {provider} (empty: leave): ").strip():
+            set_api_key(provider, key)
+            count += 1
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="millrace-keys", description="Keys of text models")
     g = p.add_mutually_exclusive_group()
+    g.add_argument("--wizard", action="store_true")
     g.add_argument("--list", action="store_true")
     g.add_argument("--set", metavar="PROVIDER")
     g.add_argument("--remove", metavar="PROVIDER")
@@ -74,7 +94,9 @@ def main(args: list[str] | None = None) -> int:
     g.add_argument("--info", action="store_true")
     given = p.parse_args(args)
     try:
-        if given.set:
+        if given.wizard:
+            print(f"{wizard()} keys set")
+        elif given.set:
             _known(given.set)
             set_api_key(given.set, getpass.getpass(f"Key for {given.set}: "))
         elif given.remove:

@@ -66,18 +66,29 @@ class IsolationForest:
                 waiting += [(at[left], depth + 1, me, False), (at[~left], depth + 1, me, True)]
         return tuple(np.array(a) for a in (feature, cut, low, high, worth))
 
-    def depths(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
+    def _whole(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each tree with all its leaves on the last level: features and cuts of the inner nodes, worth of the leaves."""
+        out = []
         for feature, cut, low, high, worth in self.nodes:
+            levels, at = int(np.ceil(np.log2(max(2, self.sampled)))), np.zeros(1, dtype=np.int64)
+            features, cuts = [], []
+            for _ in range(levels):
+                inner = feature[at] >= 0
+                features.append(np.where(inner, feature[at], 0))
+                cuts.append(np.where(inner, cut[at], np.inf))  # below a leaf all goes left
+                at = np.stack([low[at], high[at]], axis=1).ravel()
+            out.append((np.concatenate(features), np.concatenate(cuts), worth[at]))
+        return out
+
+    def depths(self, x: np.ndarray) -> np.ndarray:
+        """Mean depth of each row over all trees."""
+        total, first = np.zeros(len(x)), np.arange(len(x)) * x.shape[1]
+        flat = np.ascontiguousarray(x).ravel()
+        for feature, cut, worth in self._whole():
             at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = feature[at]
-                inner = np.flatnonzero(f >= 0)
-                if not len(inner):
-                    break
-                left = x[inner, f[inner]] <= cut[at[inner]]
-                at[inner] = np.where(left, low[at[inner]], high[at[inner]])
-            total += worth[at]
+            while at.size and at[0] < len(feature):
+                at = 2 * at + 1 + (flat[first + feature[at]] > cut[at])
+            total += worth[at - len(feature)]
         return total / max(1, len(self.nodes))
 
     def score(self, df: DataFrame, name: str) -> DataFrame:

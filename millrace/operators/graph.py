@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.components import components
 from millrace.operators.text import drop_duplicates
@@ -99,9 +100,14 @@ class GraphPrep:
         return self._set("add_edge_features", edges=joined.select(*[q(c) for c in names], F.coalesce("__n", F.lit(1)).cast("long").alias("edge_count")))
 
     def identify_components(self) -> DataFrame:
-        """component_id of every node: components without direction, numbered from 0 by their smallest id; -1 without id."""
+        """component_id of every node: components without direction, numbered from 0 by their smallest id; -1 without id.
+
+        Whole numbers are their own keys; other ids are known by a 64-bit hash.
+        """
         scratch = Scratch(self.nodes.sparkSession, "graph")
-        key = lambda c: F.xxhash64(c.cast("string"))
+        kinds = {f.name: f.dataType for f in [*self.nodes.schema.fields, *self.edges.schema.fields]}
+        whole_numbers = all(isinstance(kinds[c], T.IntegralType) for c in (self.id, self.source, self.target))
+        key = lambda c: c.cast("long") if whole_numbers else F.xxhash64(c.cast("string"))
         whole = self.edges.where(q(self.source).isNotNull() & q(self.target).isNotNull())
         labels = scratch.save(components(whole.select(key(q(self.source)).alias("a"), key(q(self.target)).alias("b")), scratch), "labels")
         placed = self.nodes.withColumn("__k", F.when(q(self.id).isNotNull(), key(q(self.id)))).join(labels.withColumnRenamed("node", "__k"), "__k", "left").withColumn("__c", F.coalesce("component", "__k"))

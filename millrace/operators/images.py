@@ -1,12 +1,16 @@
 """Image sets: a row for each file, headers and pixels as columns, resized and written in parallel.
 
-Files are listed and read by Spark's readers. PNG (8 bits, not interlaced), and
-binary PPM and PGM are decoded here with zlib and numpy; other formats go through
-Spark's image source. Nothing is ever stacked on the driver unless asked for.
+Files are listed and read by Spark's readers. PNG (all depths, as 8 bits; interlaced
+or not; without transparency of palettes), and binary PPM and PGM are decoded here
+with zlib and numpy; JPEG, GIF, BMP and TIFF go through Spark's image reader (the
+Java runtime's decoders). A format that neither reads, such as WebP, is unsupported, which is not
+the same as corrupted: detect() counts it apart, and clean() raises instead of
+dropping it. Nothing is ever stacked on the driver unless asked for.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,6 +24,12 @@ from millrace.operators.balance import split_rows
 from millrace.plans.stats import fuse
 
 SUFFIXES = ("png", "jpg", "jpeg", "bmp", "gif", "tiff", "webp", "ppm", "pgm")
+OTHER_SUFFIXES = ("jpg", "jpeg", "bmp", "gif", "tiff", "webp")
+OTHER = r"\.(" + "|".join(OTHER_SUFFIXES) + ")$"
+#: First bytes of formats that no decoder here reads.
+UNSUPPORTED = ((b"RIFF", 8, b"WEBP"),)
+# First column and row, and steps, of the seven passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 MODES = {1: "L", 3: "RGB", 4: "RGBA"}
 CHANNELS = {"grayscale": 1, "L": 1, "rgb": 3, "RGB": 3, "rgba": 4, "RGBA": 4}
 SMALL_FILE = 1024
@@ -65,6 +75,15 @@ def _unfilter(raw: bytes, h: int, stride: int, step: int) -> np.ndarray:
     return out
 
 
+def _samples(lines: np.ndarray, count: int, depth: int, scaled: bool) -> np.ndarray:
+    """The first `count` samples of each line as 8 bits; deeper ones lose their low byte, flatter ones are spread to 0..255."""
+    if depth >= 8:
+        return lines[:, :: depth // 8][:, :count]
+    bits = np.unpackbits(lines, axis=1)[:, : count * depth].reshape(len(lines), count, depth)
+    values = bits @ (1 << np.arange(depth - 1, -1, -1))
+    return (values * (255 // ((1 << depth) - 1)) if scaled else values).astype(np.uint8)
+
+
 def decode(data: bytes) -> np.ndarray | None:
     """uint8 pixels (height, width, channels), or None if the file cannot be read here."""
     try:
@@ -81,9 +100,14 @@ def decode(data: bytes) -> np.ndarray | None:
                     body += part
                 at += 12 + n
             c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-            if depth != 8 or interlaced:
-                return None
-            pixels = _unfilter(zlib.decompress(body), h, w * c, c).reshape(h, w, c)
+            raw, pixels = zlib.decompress(body), np.zeros((h, w, c), dtype=np.uint8)
+            for x, y, dx, dy in PASSES if interlaced else ((0, 0, 1, 1),):
+                wide, high = -(-(w - x) // dx), -(-(h - y) // dy)
+                if wide > 0 and high > 0:
+                    stride = -(-wide * c * depth // 8)
+                    lines = _unfilter(raw, high, stride, max(1, c * depth // 8))
+                    raw = raw[high * (stride + 1) :]
+                    pixels[y::dy, x::dx] = _samples(lines, wide * c, depth, kind != 3).reshape(high, wide, c)
             return palette[pixels[:, :, 0]] if kind == 3 else pixels
         if data[:2] in (b"P5", b"P6"):
             head, at = [], 2
@@ -103,6 +127,19 @@ def decode(data: bytes) -> np.ndarray | None:
     return None
 
 
+def decoded(content: bytes, origin: str | None, height: int | None, width: int | None, channels: int | None, data: bytes | None) -> np.ndarray | None:
+    """Pixels of a file: decoded here, or what Spark's image reader made of it (rows of blue, green, red, alpha)."""
+    pixels = decode(content)
+    if pixels is None and data is not None and height and width and height > 0:
+        pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+        pixels = pixels[:, :, [2, 1, 0, *range(3, channels)]] if channels >= 3 else pixels
+    return pixels
+
+
+def unsupported(content: bytes) -> bool:
+    return any(content.startswith(x) and content[at : at + len(y)] == y for x, at, y in UNSUPPORTED)
+
+
 def _weights(old: int, new: int, lobes: int = 3) -> np.ndarray:
     """Lanczos weights of every old position for every new one; wider when shrinking."""
     scale = max(1.0, old / new)
@@ -140,34 +177,48 @@ class ImagePrep:
         if not image_dir and not image_paths:
             raise ValueError("image_dir or image_paths is needed")
         self.spark, self.size, self.channels, self.normalize = spark, target_size, CHANNELS[color_mode], normalize
-        reader = spark.read.format("binaryFile")
-        if image_paths:
-            self.files = reader.load([*dict.fromkeys(image_paths)])
-        else:
-            both = ",".join([*SUFFIXES, *(s.upper() for s in SUFFIXES)])
-            self.files = reader.option("pathGlobFilter", f"*.{{{both}}}").option("recursiveFileLookup", "true").load(image_dir)
+        def load(kind: str, paths: list[str] | None, suffixes: tuple[str, ...]) -> DataFrame:
+            reader = spark.read.format(kind)
+            if paths:
+                return reader.load([*dict.fromkeys(paths)])
+            both = ",".join([*suffixes, *(s.upper() for s in suffixes)])
+            return reader.option("pathGlobFilter", f"*.{{{both}}}").option("recursiveFileLookup", "true").load(image_dir)
+
+        self.files = load("binaryFile", image_paths, SUFFIXES).select("path", "length", "content")
         if self.files.isEmpty():
             raise ValueError("No images found")
+        # files that are not decoded here take the pixels of the second reader; it opens no others
+        names = self.files.select("path").where(F.lower("path").rlike(OTHER))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("origin", "string"), ("height", "int"), ("width", "int"), ("nChannels", "int"), ("data", "binary"))]
+        if names.isEmpty():
+            self.read = self.files.select("*", *none)
+        else:
+            same = lambda c: F.regexp_replace(F.col(c), "^file:/+", "file:/")
+            made = load("image", [x for x in image_paths if re.search(OTHER, x.lower())] if image_paths else None, OTHER_SUFFIXES).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+            rest = self.files.where(F.lower("path").rlike(OTHER)).withColumn("__p", same("path")).join(made.withColumn("__p", same("origin")), "__p", "left").drop("__p")
+            self.read = self.files.where(~F.lower("path").rlike(OTHER)).select("*", *none).unionByName(rest)
         self.log: list[dict] = []
 
     def headers(self) -> DataFrame:
-        """path, bytes, height, width, channels, digest of the pixels; height is null for files that cannot be read."""
+        """path, bytes, height, width, channels, digest of the pixels, unsupported; height is null for files that cannot be read."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pixels = [decode(x) for x in batch.column(2).to_pylist()]
+                files = list(zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True))
+                pixels = [decoded(*x) for x in files]
                 shape = [p.shape if p is not None else (None, None, None) for p in pixels]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([s[k] for s in shape], pa.int32()) for k in range(3)), pa.array([p.tobytes() if p is not None else None for p in pixels], pa.binary())], names=["path", "bytes", "height", "width", "channels", "pixels"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([s[k] for s in shape], pa.int32()) for k in range(3)), pa.array([p.tobytes() if p is not None else None for p in pixels], pa.binary()), pa.array([p is None and unsupported(x[0]) for p, x in zip(pixels, files, strict=True)])], names=["path", "bytes", "height", "width", "channels", "pixels", "unsupported"])
 
-        read = self.files.select("path", "length", "content").mapInArrow(run, "path string, bytes long, height int, width int, channels int, pixels binary")
-        return read.select("path", "bytes", "height", "width", "channels", F.sha2("pixels", 256).alias("digest"))
+        read = self.read.mapInArrow(run, "path string, bytes long, height int, width int, channels int, pixels binary, unsupported boolean")
+        return read.select("path", "bytes", "height", "width", "channels", F.sha2("pixels", 256).alias("digest"), "unsupported")
 
     def detect(self) -> dict:
         h = self.headers()
         ok = F.col("height").isNotNull()
         found = fuse(h, {
             "total_images": F.count(F.lit(1)),
-            "corrupted": F.count_if(~ok),
+            "corrupted": F.count_if(~ok & ~F.col("unsupported")),
+            "unsupported": F.count_if("unsupported"),
             "size_mismatch": F.count_if(ok & ((F.col("height") != self.size[0]) | (F.col("width") != self.size[1]))),
             "color_mode_issues": F.count_if(ok & (F.col("channels") != self.channels)),
             "wrong_format": F.count_if(~F.lower("path").rlike(r"\.(" + "|".join(SUFFIXES) + ")$")),
@@ -184,9 +235,11 @@ class ImagePrep:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows: list[list] = [[], [], [], [], []]
-                for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    p = decode(data)
+                for path, *file in zip(batch.column(0).to_pylist(), *(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+                    p = decoded(*file)
                     if p is None:
+                        if unsupported(file[0]):
+                            raise ValueError(f"No decoder for the format of image {path}; leave it out or convert it")
                         if not remove_corrupted:
                             raise ValueError(f"Cannot read image {path}")
                         continue
@@ -198,7 +251,7 @@ class ImagePrep:
                 yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["path", "height", "width", "channels", "pixels"])
 
         self.log.append({"action": "clean", "size": list(self.size), "channels": channels})
-        return self.files.select("path", "content").mapInArrow(run, "path string, height int, width int, channels int, pixels binary")
+        return self.read.mapInArrow(run, "path string, height int, width int, channels int, pixels binary")
 
     def to_array(self, images: DataFrame) -> np.ndarray:
         """All images in one array (n, height, width, channels) on the driver: for small sets."""
@@ -222,6 +275,23 @@ class ImagePrep:
         images.select("path", "height", "width", "channels", "pixels").mapInArrow(run, "name string, content binary").write.mode("overwrite").parquet(output)
         return self.spark.read.parquet(output)
 
+    def save_files(self, images: DataFrame, folder: str, prefix: str = "processed_") -> int:
+        """Write each image as a PNG file into a folder that all executors share; tasks write their own files. Returns how many."""
+        table = self.save_processed(images, f"{folder.rstrip('/')}/_table", prefix)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+            store.create_dir(base, recursive=True)
+            for batch in batches:
+                for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    with store.open_output_stream(f"{base.rstrip('/')}/{name}") as out:
+                        out.write(content)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+        return table.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
     def get_statistics(self) -> dict:
         h = self.headers().where("height IS NOT NULL")
         sizes = h.groupBy("height", "width").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "height", "width")

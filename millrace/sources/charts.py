@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.eda import correlations, top_values
 from millrace.plans.stats import fuse, null_count, quantiles
-from millrace.schema import categorical_columns, number, numeric_columns, row_hash
+from millrace.schema import categorical_columns, number, numeric_columns, row_hash, value
 
 BAR = "#3b6ea5"
 
@@ -32,7 +32,7 @@ def bars(title: str, rows: list[tuple[str, float]], unit: str = "") -> str:
     parts = [_text(10, 18, title)]
     for i, (name, v) in enumerate(rows):
         y = 30 + 20 * i
-        parts += [_text(140, y + 12, name, "end"), f'<rect x="150" y="{y}" width="{300 * v / most:.1f}" height="15" fill="{BAR}"/>', _text(155 + 300 * v / most, y + 12, f"{v:g}{unit}")]
+        parts += [_text(140, y + 12, name, "end"), f'<rect x="150" y="{y}" width="{300 * v / most:.1f}" height="15" fill="{BAR}"><title>{escape(str(name))}: {v:g}{unit}</title></rect>', _text(155 + 300 * v / most, y + 12, f"{v:g}{unit}")]
     return _page(560, 45 + 20 * len(rows), parts)
 
 
@@ -81,7 +81,7 @@ def distribution_chart(df: DataFrame, columns: list[str] | None = None, bins: in
         rows = histogram(df, c, bins).collect()
         most = max((r["n"] for r in rows), default=1)
         parts.append(_text(x0, y0 - 8, c))
-        parts += [f'<rect x="{x0 + 7 * r["bin"]}" y="{y0 + 110 - 110 * r["n"] / most:.1f}" width="6" height="{110 * r["n"] / most:.1f}" fill="{BAR}"/>' for r in rows]
+        parts += [f'<rect x="{x0 + 7 * r["bin"]}" y="{y0 + 110 - 110 * r["n"] / most:.1f}" width="6" height="{110 * r["n"] / most:.1f}" fill="{BAR}"><title>{r["low"]:.6g} to {r["high"]:.6g}: {r["n"]}</title></rect>' for r in rows]
     return _page(740, 40 + 150 * (-(-len(names) // 3)), parts)
 
 
@@ -110,6 +110,14 @@ def all_charts(df: DataFrame) -> dict[str, str]:
     return {name: as_data(f(df)) for name, f in made.items()}
 
 
+def column_table(df: DataFrame) -> DataFrame:
+    """(column, dtype, non_null, missing, unique) of every column."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value(df, c).cast("string").alias("v")) for i, c in enumerate(df.columns)])).alias("s")
+    counts = df.select(cells).groupBy("s.i", "s.v").agg(F.count(F.lit(1)).alias("n")).groupBy("i").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("v").alias("unique"))
+    names = df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(df.dtypes)], "i int, column string, dtype string")
+    return names.join(counts, "i", "left").select("column", "dtype", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("non_null", "missing", "unique")])
+
+
 def scatter_chart(df: DataFrame, a: str, b: str, points: int = 1000) -> str:
     """At most `points` rows, chosen by a hash of their content."""
     rows = df.select(number(df, a).alias("a"), number(df, b).alias("b"), row_hash(df, 1).alias("h")).where("a IS NOT NULL AND b IS NOT NULL").orderBy("h").limit(points).collect()
@@ -117,11 +125,30 @@ def scatter_chart(df: DataFrame, a: str, b: str, points: int = 1000) -> str:
         return note("No values")
     xs, ys = [r["a"] for r in rows], [r["b"] for r in rows]
     sx, sy = 300 / ((max(xs) - min(xs)) or 1), 200 / ((max(ys) - min(ys)) or 1)
-    return _page(360, 260, [_text(20, 15, f"{b} over {a}"), *[f'<circle cx="{30 + (x - min(xs)) * sx:.1f}" cy="{235 - (y - min(ys)) * sy:.1f}" r="2" fill="{BAR}"/>' for x, y in zip(xs, ys, strict=True)]])
+    return _page(360, 260, [_text(20, 15, f"{b} over {a}"), *[f'<circle cx="{30 + (x - min(xs)) * sx:.1f}" cy="{235 - (y - min(ys)) * sy:.1f}" r="2" fill="{BAR}"><title>{x:.6g}, {y:.6g}</title></circle>' for x, y in zip(xs, ys, strict=True)]])
+
+
+# what a mark stands for shows when it is pointed at; charts are zoomed with the wheel and dragged
+_HANDLING = """<script>
+for (const svg of document.querySelectorAll('svg')) {
+  const w = +svg.getAttribute('width'), h = +svg.getAttribute('height'), box = [0, 0, w, h];
+  const show = () => svg.setAttribute('viewBox', box.join(' '));
+  svg.addEventListener('wheel', e => {
+    e.preventDefault();
+    const r = svg.getBoundingClientRect(), f = e.deltaY > 0 ? 1.2 : 1 / 1.2;
+    const x = box[0] + (e.clientX - r.left) / r.width * box[2], y = box[1] + (e.clientY - r.top) / r.height * box[3];
+    box[0] = x - (x - box[0]) * f; box[1] = y - (y - box[1]) * f; box[2] *= f; box[3] *= f; show();
+  });
+  svg.addEventListener('mousemove', e => {
+    if (e.buttons) { box[0] -= e.movementX * box[2] / w; box[1] -= e.movementY * box[3] / h; show(); }
+  });
+  svg.addEventListener('dblclick', () => { box.splice(0, 4, 0, 0, w, h); show(); });
+}
+</script>"""
 
 
 class Dashboard:
-    """Static pages of charts."""
+    """Pages of charts that are zoomed, dragged and pointed at; without other files."""
 
     def __init__(self, df: DataFrame) -> None:
         if not isinstance(df, DataFrame):
@@ -132,7 +159,7 @@ class Dashboard:
 
     @staticmethod
     def _finish(title: str, charts: list[str], path: str | None) -> str:
-        page = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>" + "".join(f"<div>{c}</div>" for c in charts) + "</body></html>"
+        page = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>" + "".join(f"<div>{c}</div>" for c in charts) + _HANDLING + "</body></html>"
         if path:
             with open(path, "w", encoding="utf-8") as f:
                 f.write(page)
@@ -174,13 +201,15 @@ from millrace.operators.balance import balance_classes
 from millrace.operators.clean import drop_missing, encode_categorical, impute_missing, scale_features
 from millrace.operators.detect import flag_outliers, missing_table, remove_outliers
 from millrace.operators.eda import Profile
-from millrace.sources.tables import read_table
+from millrace.sources.charts import column_table
+from millrace.sources.tables import read_table, write_table
 
 spark = SparkSession.builder.getOrCreate()
 path = st.text_input("Path of a table (csv, parquet, json, orc)")
 if path:
     df = read_table(spark, path)
     st.dataframe(df.limit(100).toPandas())
+    st.dataframe(column_table(df).toPandas())
     st.json(Profile(df).get_summary())
     st.dataframe(missing_table(df).toPandas())
     if st.checkbox("Drop rows with missing values"):
@@ -195,7 +224,11 @@ if path:
         df = encode_categorical(df)
     if st.checkbox("Scale"):
         df = scale_features(df)
-    st.download_button("Download", df.toPandas().to_csv(index=False), "cleaned.csv")
+    target = st.text_input("Folder for the result (csv)")
+    if target:
+        write_table(df, target)
+    if st.checkbox("Download the first 100,000 rows"):
+        st.download_button("Download", df.limit(100_000).toPandas().to_csv(index=False), "cleaned.csv")
 '''
 
 

@@ -1,5 +1,7 @@
 import json
 import math
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -8,9 +10,12 @@ from pyspark.sql import functions as F
 
 from millrace import assist, cli, config, keys
 from millrace.operators import eda, features
-from millrace.operators.images import ImagePrep, decode, encode_png, resize
+from millrace.operators.features import bin_edges
+from millrace.operators.forest import IsolationForest
+from millrace.operators.images import PASSES, ImagePrep, decode, encode_png, resize
 from millrace.plans.pipeline import Prep
 from millrace.sources import charts, reports
+from millrace.sources.charts import column_table
 from millrace.sources.tables import read_table
 from millrace.streaming import streams
 
@@ -157,6 +162,98 @@ def test_images(spark, tmp_path):
     assert (resize(flat, 8, 40) == 9).all()
 
 
+def test_images_of_other_formats(spark, tmp_path):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(40, 30, 1)
+    for x in range(40):
+        for y in range(30):
+            picture.setRGB(x, y, 200 << 16 | 100 << 8 | 50)
+    for kind in ("jpg", "gif", "bmp"):
+        assert jvm.javax.imageio.ImageIO.write(picture, kind, jvm.java.io.File(str(tmp_path / f"p.{kind}")))
+    (tmp_path / "q.png").write_bytes(encode_png(np.full((30, 40, 3), 9, np.uint8)))
+    (tmp_path / "broken.jpg").write_bytes(b"\xff\xd8nothing")
+    prep = ImagePrep(spark, str(tmp_path), target_size=(30, 40), normalize=False)
+    found = prep.detect()
+    assert (found["total_images"], found["corrupted"], found["unsupported"], found["size_mismatch"]) == (5, 1, 0, 0)
+    images = {r["path"].rsplit("/", 1)[-1]: np.frombuffer(r["pixels"], np.uint8).reshape(30, 40, 3) for r in prep.clean().collect()}
+    assert set(images) == {"p.jpg", "p.gif", "p.bmp", "q.png"}
+    assert all(np.abs(images[f"p.{k}"].astype(int) - [200, 100, 50]).max() <= 6 for k in ("jpg", "gif", "bmp"))
+    assert prep.save_files(prep.clean(), str(tmp_path / "out")) == 4
+    assert (decode((tmp_path / "out" / "processed_q.png").read_bytes()) == 9).all()
+    (tmp_path / "w.webp").write_bytes(b"RIFF\x00\x00\x00\x00WEBPVP8 nothing")
+    odd = ImagePrep(spark, str(tmp_path), target_size=(30, 40))
+    assert odd.detect()["unsupported"] == 1
+    with pytest.raises(Exception, match="No decoder"):
+        odd.clean().count()
+
+
+@pytest.mark.parametrize(("depth", "kind"), [(1, 0), (2, 0), (4, 0), (8, 2), (16, 2), (16, 6)])
+def test_png_of_all_depths_and_interlaced(depth, kind):
+    rng = np.random.default_rng(depth)
+    h, w, c = 13, 11, {0: 1, 2: 3, 6: 4}[kind]
+    values = rng.integers(0, 1 << depth, (h, w, c))
+    want = (values * (255 // ((1 << depth) - 1)) if depth < 8 else values >> (depth - 8)).astype(np.uint8)
+
+    def packed(part):
+        bits = ((part.reshape(len(part), -1)[:, :, None] >> np.arange(depth - 1, -1, -1)) & 1).astype(np.uint8)
+        return b"".join(b"\0" + np.packbits(line.ravel()).tobytes() for line in bits)
+
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    for interlaced in (0, 1):
+        parts = [values[y::dy, x::dx] for x, y, dx, dy in (PASSES if interlaced else ((0, 0, 1, 1),))]
+        body = b"".join(packed(p) for p in parts if p.size)
+        head = struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, interlaced)
+        assert (decode(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")) == want).all()
+
+
+def test_key_wizard_and_default_models(monkeypatch, tmp_path, capsys):
+    monkeypatch.setenv("MILLRACE_HOME", str(tmp_path))
+    for name in keys.PROVIDERS.values():
+        monkeypatch.delenv(name, raising=False) if name else None
+    said = iter(["1", "nobody", "ollama", "google", ""])
+    assert keys.wizard(lambda _: next(said), lambda _: "secret-key-0123456789") == 2
+    assert keys.get_api_key("openai") == keys.get_api_key("google") == "secret-key-0123456789"
+    assert "Unknown provider: nobody" in capsys.readouterr().out
+    assert all(assist.Advisor(provider=p).model_name for p in keys.PROVIDERS)
+
+
+def test_column_table(spark):
+    df = spark.createDataFrame([(1, "a", float("nan")), (2, None, 1.0), (2, "a", None)], "i int, s string, x double")
+    assert {tuple(r) for r in column_table(df).collect()} == {("i", "int", 3, 0, 2), ("s", "string", 2, 1, 1), ("x", "double", 1, 2, 1)}
+
+
+def test_whole_trees_equal_plain_descent():
+    rng = np.random.default_rng(4)
+    forest = IsolationForest(["a", "b"], trees=9, rows=64)
+    x = rng.normal(size=(300, 2))
+    forest.sampled = 64
+    forest.nodes = [forest._grow(x[rng.choice(300, 64, replace=False)], rng) for _ in range(9)]
+
+    def depth(row):
+        total = 0.0
+        for feature, cut, low, high, worth in forest.nodes:
+            at = 0
+            while feature[at] >= 0:
+                at = low[at] if row[feature[at]] <= cut[at] else high[at]
+            total += worth[at]
+        return total / 9
+
+    np.testing.assert_allclose(forest.depths(x), [depth(r) for r in x])
+
+
+def test_kmeans_bins_equal_plain_lloyd(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 0.5, 80) for m in (0, 5, 9)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = bin_edges(df, ["x"], 3, "kmeans")["x"]
+    edges = np.linspace(x.min(), x.max(), 4)
+    centres = (edges[1:] + edges[:-1]) / 2
+    for _ in range(100):
+        nearest = np.abs(x[:, None] - centres).argmin(axis=1)
+        centres = np.sort([x[nearest == k].mean() for k in range(3)])
+    np.testing.assert_allclose(got, [x.min(), *(centres[1:] + centres[:-1]) / 2, x.max()], rtol=1e-6)
+
+
 def test_streams(spark, tmp_path):
     schema = "ts timestamp, k int, value double"
     rows = spark.range(48).selectExpr("TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(id AS INT), 0, 0) AS ts", "CAST(id % 3 AS INT) AS k", "CAST(id AS DOUBLE) AS value")
