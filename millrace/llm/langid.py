@@ -17,7 +17,8 @@ training histogram against even spread, halfway between text of wholly unknown
 subwords and the least typical calibration text of the language, and lower for
 short texts. Texts below the threshold are rejected.
 
-Null texts and texts without any letter are `und` with score 0 and rejected.
+Null texts and texts without any letter are `und` with score 0 and rejected. Of
+languages of equal score the first in the order of their names is said.
 Empty tables give empty tables; repeated rows are scored alike. Without any
 labelled row, every text is `und`. Labels, sources and ids are no inputs of a
 prediction.

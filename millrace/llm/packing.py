@@ -10,7 +10,8 @@ closes. A task looks at a bounded number of pieces at a time, the longest first,
 and holds no more than these and its open bins. Tasks pack their rows independently, and a sequence number
 is the task's number and a counter.
 
-Null and empty texts are the end id alone. Repeated rows are packed each. Extra
+Pieces of equal length go in the order of their rows, into the bin of equal free
+space that was filled last. Null and empty texts are the end id alone. Repeated rows are packed each. Extra
 columns are ignored; an empty table gives an empty table.
 """
 
