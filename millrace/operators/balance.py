@@ -17,8 +17,9 @@ from millrace.plans.scratch import Scratch
 from millrace.schema import number, numeric_columns, q, require, row_hash, value
 
 BUCKETS = 1024
-#: Rows of a chunk in the search for neighbours.
+#: Rows of a chunk in the search for neighbours, and bases of a chunk; rows are sent once for each of the latter.
 CHUNK = 8192
+BASES = 65_536
 
 
 def class_counts(df: DataFrame, target: str) -> dict[object, int]:
@@ -79,7 +80,7 @@ def nearest_rows(rows: DataFrame, bases: DataFrame, n_rows: int, n_bases: int, w
     Rows and bases meet chunk by chunk, and the best of all chunk pairs are merged, so
     no task holds more than two chunks. Ties are broken by h, then by x.
     """
-    down, across = max(1, -(-n_rows // CHUNK)), max(1, -(-n_bases // CHUNK))
+    down, across = max(1, -(-n_rows // CHUNK)), max(1, -(-n_bases // BASES))
     given = rows.select(F.pmod(F.xxhash64("id"), F.lit(down)).alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))).alias("r"), "id", "x", "h")
     asked = bases.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))).alias("d"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(across)).alias("r"), "id", "x")
 
@@ -168,7 +169,7 @@ def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def split_rows(df: DataFrame, shares: tuple[float, ...] = (0.7, 0.15, 0.15), seed: int = 42) -> list[DataFrame]:
-    """Disjoint parts of exact sizes (rounded down; the rest goes to the last), by hash order."""
+    """Disjoint parts of exact sizes (rounded down; the rest goes to the last), by hash order. Writes intermediate tables."""
     if abs(sum(shares) - 1) > 1e-6:
         raise ValueError("shares must sum to 1")
     scratch = Scratch(df.sparkSession, "split")

@@ -14,8 +14,9 @@ from millrace.plans.scratch import Scratch
 from millrace.plans.stats import fuse, null_count
 from millrace.schema import number, numeric_columns, q
 
-#: Rows of a donor chunk and of a receiver chunk.
+#: Rows of a donor chunk, and of a receiver chunk; donors are sent once for each of the latter.
 CHUNK = 8192
+RECEIVERS = 65_536
 
 
 def impute_knn(df: DataFrame, n_neighbors: int = 5, exclude: Iterable[str] = ()) -> DataFrame:
@@ -24,7 +25,8 @@ def impute_knn(df: DataFrame, n_neighbors: int = 5, exclude: Iterable[str] = ())
     Distance is Euclidean over the columns that both rows have, scaled up for those
     they lack. Donors and receivers meet chunk by chunk; each chunk pair gives a
     receiver's best donors, and the best of all are merged, so no task holds more
-    than two chunks and every row is a donor.
+    than two chunks and every row is a donor. Runs jobs and writes an intermediate table.
+    Of donors equally near, those that come first in the table count.
     """
     columns = numeric_columns(df, exclude)
     gaps = fuse(df, {c: null_count(df, c) for c in columns}) if columns else {}
@@ -38,7 +40,7 @@ def impute_knn(df: DataFrame, n_neighbors: int = 5, exclude: Iterable[str] = ())
     rows = keyed.select("__id", x.alias("x"))
     down = max(1, -(-keyed.count() // CHUNK))
     lacking = rows.where(F.exists("x", lambda v: v.isNull()))
-    across = max(1, -(-lacking.count() // CHUNK))
+    across = max(1, -(-lacking.count() // RECEIVERS))
     donors = rows.select(F.pmod(F.xxhash64("__id"), F.lit(down)).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("r"), "__id", "x")
     receivers = lacking.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"), F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(across)).alias("r"), "__id", "x")
     width, hole_at, k = len(columns), [columns.index(c) for c in holes], n_neighbors
