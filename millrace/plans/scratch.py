@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -26,13 +27,19 @@ class Scratch:
     What a returned frame still reads stays until its caller deletes it: settle() does so.
     """
 
-    _made: list[Scratch] = []
+    _own = threading.local()  # what a thread made
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self._made.append(self)
+        self._made().append(self)
+
+    @classmethod
+    def _made(cls) -> list[Scratch]:
+        if not hasattr(cls._own, "made"):
+            cls._own.made = []
+        return cls._own.made
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         self.count += 1
@@ -42,11 +49,12 @@ class Scratch:
 
     def settle(self, make: Callable[[], DataFrame], label: str) -> DataFrame:
         """Save what make() returns, and delete all intermediate tables that were made for it."""
-        before = len(self._made)
+        made = self._made()
+        before = len(made)
         saved = self.save(make(), label)
-        for other in self._made[before:]:
+        for other in made[before:]:
             other._delete(other.root)
-        del self._made[before:]
+        del made[before:]
         self._free_shuffles()
         return saved
 

@@ -12,6 +12,7 @@ from millrace.operators.clean import encode_categorical
 from millrace.operators.forest import IsolationForest
 from millrace.plans import stats
 from millrace.plans.pipeline import Prep
+from millrace.plans.scratch import Scratch
 from millrace.plans.stats import missing_table, modes
 
 
@@ -221,3 +222,20 @@ def test_shuffle(spark):
     df = spark.range(200)
     a, b = ([r["id"] for r in shuffle_rows(d, 1).collect()] for d in (df, df.repartition(7)))
     assert a == b and sorted(a) == list(range(200)) and a != sorted(a) and a != [r["id"] for r in shuffle_rows(df, 2).collect()]
+
+
+def test_scratch_tables_go_once_settled(spark):
+    outer, made = Scratch(spark, "outer"), []
+
+    def make():
+        made.append(Scratch(spark, "inner"))
+        return made[0].save(spark.range(10)).where("id > 3")
+
+    def exists(folder):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    kept = outer.settle(make, "kept")
+    assert kept.count() == 6 and exists(outer.root) and not exists(made[0].root)
+    outer.drop(kept)
+    assert not exists(f"{outer.root}/1-kept")
