@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.operators.components import components
 from millrace.operators.text import drop_duplicates
+from millrace.operators.timeseries import numbered
 from millrace.plans.scratch import Scratch
 from millrace.plans.stats import fuse
 from millrace.schema import q, require
@@ -102,15 +103,29 @@ class GraphPrep:
     def identify_components(self) -> DataFrame:
         """component_id of every node: components without direction, numbered from 0 by their smallest id; -1 without id.
 
-        Whole numbers are their own keys; other ids are known by a 64-bit hash.
+        Whole numbers are their own keys; other ids are numbered by a range sort, so no two of them are taken for one.
+        Ids of different types are compared as text if one of them is text, else as Spark compares numbers.
         """
         scratch = Scratch(self.nodes.sparkSession, "graph")
-        kinds = {f.name: f.dataType for f in [*self.nodes.schema.fields, *self.edges.schema.fields]}
-        whole_numbers = all(isinstance(kinds[c], T.IntegralType) for c in (self.id, self.source, self.target))
-        key = lambda c: c.cast("long") if whole_numbers else F.xxhash64(c.cast("string"))
         whole = self.edges.where(q(self.source).isNotNull() & q(self.target).isNotNull())
-        labels = scratch.save(components(whole.select(key(q(self.source)).alias("a"), key(q(self.target)).alias("b")), scratch), "labels")
-        placed = self.nodes.withColumn("__k", F.when(q(self.id).isNotNull(), key(q(self.id)))).join(labels.withColumnRenamed("node", "__k"), "__k", "left").withColumn("__c", F.coalesce("component", "__k"))
+        sides = [self.nodes.select(q(self.id).alias("__id")), whole.select(q(self.source).alias("__id")), whole.select(q(self.target).alias("__id"))]
+        kinds = [side.schema["__id"].dataType for side in sides]
+        if all(isinstance(kind, T.IntegralType) for kind in kinds):
+            links = whole.select(q(self.source).cast("long").alias("a"), q(self.target).cast("long").alias("b"))
+            nodes = self.nodes.withColumn("__k", q(self.id).cast("long"))
+        else:
+            if any(isinstance(kind, T.StringType) for kind in kinds):
+                sides = [side.select(F.col("__id").cast("string").alias("__id")) for side in sides]
+            ids = sides[0].union(sides[1]).union(sides[2]).where("__id IS NOT NULL").distinct()
+            kind = ids.schema["__id"].dataType
+            keys = scratch.save(numbered(ids, [F.col("__id")], scratch, "__n"), "keys")
+            links = whole.select(q(self.source).cast(kind).alias("a"), q(self.target).cast(kind).alias("b"))
+            for end in ("a", "b"):
+                links = links.join(keys.toDF(end, f"__{end}"), end)
+            links = links.select(F.col("__a").alias("a"), F.col("__b").alias("b"))
+            nodes = self.nodes.withColumn("__id", q(self.id).cast(kind)).join(keys.toDF("__id", "__k"), "__id", "left")
+        labels = scratch.save(components(links, scratch), "labels")
+        placed = nodes.join(labels.withColumnRenamed("node", "__k"), "__k", "left").withColumn("__c", F.coalesce("component", "__k"))
         least = placed.where("__c IS NOT NULL").groupBy("__c").agg(F.min(q(self.id)).alias("__m"))
         ranks = scratch.save(self._ranked(least), "ranks")
         out = placed.join(ranks.select("__c", "component_id"), "__c", "left").select(*[q(c) for c in self.nodes.columns], F.coalesce("component_id", F.lit(-1)).cast("long").alias("component_id"))
@@ -119,8 +134,6 @@ class GraphPrep:
     @staticmethod
     def _ranked(least: DataFrame) -> DataFrame:
         """Consecutive numbers in the order of __m, by a range sort and the sizes of its parts."""
-        from millrace.operators.timeseries import numbered
-
         return numbered(least, [F.col("__m")], Scratch(least.sparkSession, "ranks"), "component_id")
 
     def filter_isolated_nodes(self) -> DataFrame:

@@ -155,6 +155,21 @@ def test_graph(spark):
     assert GraphPrep(edges=edges).report()["graph_stats"]["num_nodes"] == 0
 
 
+def test_components_of_ids_of_any_type(spark):
+    texts = spark.createDataFrame([("a",), ("b",), ("c",), ("10",), ("9",), (None,)], "id string")
+    edges = spark.createDataFrame([("a", "x"), ("x", "b"), ("9", "9"), (None, "c")], "source string, target string")
+    out = {r["id"]: r["component_id"] for r in GraphPrep(texts, edges).identify_components().collect()}
+    assert out == {"10": 0, "9": 1, "a": 2, "b": 2, "c": 3, None: -1}
+    numbers = spark.createDataFrame([(10, 9), (2, 2)], "source long, target int")
+    out = {r["id"]: r["component_id"] for r in GraphPrep(texts, numbers).identify_components().collect()}
+    assert out == {"10": 0, "9": 0, "a": 1, "b": 2, "c": 3, None: -1}
+    halves = spark.createDataFrame([(1.0,), (2.0,), (2.5,)], "id double")
+    out = {r["id"]: r["component_id"] for r in GraphPrep(halves, spark.createDataFrame([(1, 2)], "source long, target long")).identify_components().collect()}
+    assert out == {1.0: 0, 2.0: 0, 2.5: 1}
+    none = spark.createDataFrame([], "source string, target string")
+    assert [r["component_id"] for r in GraphPrep(texts, none).identify_components().orderBy("id").collect()] == [-1, 0, 1, 2, 3, 4]
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.range(n - 1).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target")).repartition(5)
