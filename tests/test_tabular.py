@@ -113,6 +113,12 @@ def test_split_has_exact_sizes(spark):
     assert sorted(r["id"] for p in parts for r in p.collect()) == list(range(10))
 
 
+def test_split_takes_shares_as_they_are_written(spark):
+    assert int(90_000 * 0.7) == 62_999  # in doubles
+    assert [p.count() for p in balance.split_rows(spark.range(90_000))] == [63_000, 13_500, 13_500]
+    assert balance.share_of(3, 1 / 3) == 1 and balance.share_of(10**17, 0.7) == 7 * 10**16 and balance.share_of(10**9, 0.123456789) == 123_456_789
+
+
 def test_outliers(spark):
     df = spark.createDataFrame([(float(x),) for x in [1, 2, 3, 100, 2, 3]], "x double")
     assert column(detect.remove_outliers(detect.flag_outliers(df, "zscore", threshold=2.0)), "x") == [1, 2, 3, 2, 3]
