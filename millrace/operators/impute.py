@@ -5,28 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.clean import replace
+from millrace.operators.neighbours import fill
 from millrace.plans.scratch import Scratch
 from millrace.plans.stats import fuse, null_count
 from millrace.schema import number, numeric_columns, q
 
-#: Rows of a donor chunk, and of a receiver chunk; donors are sent once for each of the latter.
-CHUNK = 8192
-RECEIVERS = 65_536
-
-
 def impute_knn(df: DataFrame, n_neighbors: int = 5, exclude: Iterable[str] = ()) -> DataFrame:
     """Missing numbers become the mean of the nearest rows that have them.
 
     Distance is Euclidean over the columns that both rows have, scaled up for those
-    they lack. Donors and receivers meet chunk by chunk; each chunk pair gives a
-    receiver's best donors, and the best of all are merged, so no task holds more
-    than two chunks and every row is a donor. Runs jobs and writes an intermediate table.
-    Of donors equally near, those that come first in the table count.
+    they lack. Every row is a donor, and the nearest are found exactly (`neighbours`);
+    rows alike in all numbers are sought once, and as donors kept n_neighbors times.
+    Runs jobs and writes intermediate tables. Of donors equally near, the first by their
+    numbers, column by column, count.
     """
     columns = numeric_columns(df, exclude)
     gaps = fuse(df, {c: null_count(df, c) for c in columns}) if columns else {}
@@ -34,49 +29,21 @@ def impute_knn(df: DataFrame, n_neighbors: int = 5, exclude: Iterable[str] = ())
     if not holes:
         return df
     scratch = Scratch(df.sparkSession, "knn")
-    names = df.columns
-    keyed = scratch.save(df.select(F.monotonically_increasing_id().alias("__id"), *[q(c) for c in names]))
-    x = F.array(*[number(df, c) for c in columns])
-    rows = keyed.select("__id", x.alias("x"))
-    down = max(1, -(-keyed.count() // CHUNK))
-    lacking = rows.where(F.exists("x", lambda v: v.isNull()))
-    across = max(1, -(-lacking.count() // RECEIVERS))
-    donors = rows.select(F.pmod(F.xxhash64("__id"), F.lit(down)).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("r"), "__id", "x")
-    receivers = lacking.select(F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("d"), F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(across)).alias("r"), "__id", "x")
-    width, hole_at, k = len(columns), [columns.index(c) for c in holes], n_neighbors
-
-    def table(t: pa.Table) -> np.ndarray:
-        return np.array([[np.nan if v is None else v for v in r] for r in t.column("x").to_pylist()], dtype=np.float64).reshape(t.num_rows, width)
-
-    def nearest(asked: pa.Table, given: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], [], []]
-        if asked.num_rows and given.num_rows:
-            pool, ids = table(given), given.column("__id").to_numpy()
-            there, filled = ~np.isnan(pool), np.nan_to_num(pool)
-            for rid, row in zip(asked.column("__id").to_pylist(), table(asked), strict=True):
-                mine = ~np.isnan(row)
-                both = there & mine
-                shared = both.sum(axis=1)
-                apart = (((filled - np.nan_to_num(row)) ** 2) * both).sum(axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    apart = np.where(shared > 0, apart * width / shared, np.inf)
-                for h in hole_at:
-                    if not mine[h]:
-                        able = np.flatnonzero(there[:, h] & np.isfinite(apart))
-                        for i in able[np.lexsort((ids[able], apart[able]))[:k]]:
-                            for column, v in zip(out, (rid, h, float(apart[i]), int(ids[i]), float(pool[i, h])), strict=True):
-                                column.append(v)
-        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.float64())
-        return pa.table({n: pa.array(v, t) for n, v, t in zip(("__id", "h", "apart", "donor", "v"), out, kinds, strict=True)})
-
-    found = receivers.groupBy("d", "r").cogroup(donors.groupBy("d", "r")).applyInArrow(nearest, "__id long, h int, apart double, donor long, v double")
-    best = F.slice(F.sort_array(F.collect_list(F.struct("apart", "donor", "v"))), 1, k)  # k rows for each chunk pair
-    means = found.groupBy("__id", "h").agg(best.alias("best")).select("__id", "h", (F.aggregate("best", F.lit(0.0), lambda a, b: a + b["v"]) / F.size("best")).alias("v"))
-    wide = means.groupBy("__id").agg(*[F.max(F.when(F.col("h") == h, F.col("v"))).alias(f"__v{h}") for h in hole_at])
-    average = fuse(df, {c: F.avg(number(df, c)) for c in holes})
-    joined = keyed.join(wide, "__id", "left")
-    filled = [F.coalesce(number(df, c), F.col(f"__v{columns.index(c)}"), F.lit(average[c])).alias(c) if c in holes else q(c) for c in names]
-    return joined.select(*filled)
+    base = scratch.save(df)
+    hole_at = [columns.index(c) for c in holes]
+    x = F.array(*[number(base, c) + F.lit(0.0) for c in columns])  # -0.0 as 0.0
+    lacks = F.exists(x, lambda v: v.isNull())
+    gives = F.array(*[number(base, c).isNotNull() for c in holes])
+    donors = base.where(F.array_contains(gives, True)).groupBy(x.alias("x")).agg(F.least(F.count(F.lit(1)), F.lit(n_neighbors)).alias("n"))
+    donors = scratch.save(donors.select("x", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).select("x"))
+    asked = scratch.save(base.where(lacks).select(x.alias("x")).distinct())
+    means = fill(asked, donors, len(columns), hole_at, n_neighbors, scratch)
+    wide = means.groupBy(F.col("x").alias("__x")).agg(*[F.max(F.when(F.col("h") == h, F.col("v"))).alias(f"__v{h}") for h in hole_at])
+    average = fuse(base, {c: F.avg(number(base, c)) for c in holes})
+    names = base.columns
+    whole = base.where(~lacks).select(*[number(base, c).alias(c) if c in holes else q(c) for c in names])
+    filled = [F.coalesce(number(base, c), F.col(f"__v{columns.index(c)}"), F.lit(average[c])).alias(c) if c in holes else q(c) for c in names]
+    return whole.union(base.where(lacks).withColumn("__x", x).join(wide, "__x", "left").select(*filled))
 
 
 def impute_iterative(df: DataFrame, max_iter: int = 10, seed: int = 42, exclude: Iterable[str] = (), tolerance: float = 1e-3, ridge: float = 1e-6) -> DataFrame:

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import balance, clean, detect, impute
+from millrace.operators import balance, clean, detect, impute, neighbours
 from millrace.operators.balance import shuffle_rows
 from millrace.operators.clean import encode_categorical
 from millrace.operators.forest import IsolationForest
@@ -173,6 +173,40 @@ def test_knn_equals_brute_force(spark):
     assert (abs(got - want) < 1e-6).all()
 
 
+@pytest.mark.parametrize("width, share, scale, k", [(3, 0.2, (900, 9, 9), 5), (4, 0.5, (4, 4, 4, 4), 20), (2, 0.3, (1, 500), 1)])
+def test_knn_in_groups_equals_brute_force(spark, monkeypatch, width, share, scale, k):
+    for name, value in (("GROUP", 64), ("BOX", 16), ("ASKED", 20)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = random.Random(width)
+    names = list("abcd")[:width]
+    rows = [tuple(None if rng.random() < share else float(rng.randrange(m + 1)) for m in scale) for _ in range(400)]  # many ties, copies and rows without numbers
+    rows.sort(key=lambda r: [(v is not None, v or 0.0) for v in r])  # equally near: first by value
+    shuffled = random.Random(1).sample(rows, len(rows))
+    got = impute.impute_knn(spark.createDataFrame(shuffled, ", ".join(f"{c} double" for c in names)).repartition(5), k).toPandas()
+    x = np.array(rows, dtype=float)
+    want = x.copy()
+    for i, j in zip(*np.isnan(x).nonzero(), strict=True):
+        both = ~np.isnan(x[i]) & ~np.isnan(x)
+        shared = both.sum(axis=1)
+        apart = np.where(both, (x - x[i]) ** 2, 0).sum(axis=1) * width
+        near = sorted((apart[d] / shared[d], d) for d in np.flatnonzero((shared > 0) & ~np.isnan(x[:, j])))[:k]
+        want[i, j] = np.mean([x[d, j] for _, d in near]) if near else np.nanmean(x[:, j])
+    assert sorted(map(tuple, got.to_numpy().round(6).tolist())) == sorted(map(tuple, want.round(6).tolist()))
+
+
+def test_knn_visits_only_groups_within_reach(spark, monkeypatch):
+    for name, value in (("GROUP", 512), ("BOX", 64)):
+        monkeypatch.setattr(neighbours, name, value)
+    seen, routed = [], neighbours._routed
+    monkeypatch.setattr(neighbours, "_routed", lambda *a: seen.append((a[0], routed(*a))) or seen[-1][1])
+    df = spark.range(16_000).selectExpr("id", "IF(id % 5 = 0, NULL, id % 50) AS s", "IF(id % 7 = 0, NULL, id % 1000 / 10D) AS r")
+    out = impute.impute_knn(df)
+    assert out.count() == 16_000 and out.where("s IS NULL OR r IS NULL").count() == 0
+    (asked, (visits, donors)), = seen
+    assert donors.groupBy("g").count().count() > 20  # all with all: as many visits for each row
+    assert visits.count() < 1.5 * asked.count()
+
+
 def test_iterative_imputation_follows_linear_relations(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i + 1 if i % 7 else None, "s") for i in range(70)], "a double, b double, t string")
     out = impute.impute_iterative(df).toPandas()
